@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groveline.llm import mixing, packing, quality, sharding
+from groveline.llm import mixing, packing, quality, sharding, substrings, suffixes
 from groveline.llm.common import read
 
 
@@ -18,6 +18,14 @@ def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).drop("p_good")
 
 
+def op7_doubled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(read(spark, sf_dir, "documents"))
+
+
+def op8_columnwise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -26,6 +34,6 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_minimax_shards, op6_weak_supervision, op9_length_buckets, op10_sainte_lague_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_minimax_shards, op6_weak_supervision, op7_doubled_windows, op8_columnwise_suffixes, op9_length_buckets, op10_sainte_lague_mix)}
 
 ORACLES: dict[str, str] = {}
