@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groveline.llm import mixing, packing, quality, sharding, substrings, suffixes
+from groveline.llm import jaccard, mixing, packing, quality, sharding, substrings, suffixes
 from groveline.llm.common import read
 
 
+def op1_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,6 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_minimax_shards, op6_weak_supervision, op7_doubled_windows, op8_columnwise_suffixes, op9_length_buckets, op10_sainte_lague_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partenum_join, op5_minimax_shards, op6_weak_supervision, op7_doubled_windows, op8_columnwise_suffixes, op9_length_buckets, op10_sainte_lague_mix)}
 
 ORACLES: dict[str, str] = {}
