@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groveline.llm import jaccard, mixing, packing, quality, sharding, substrings, suffixes
+from groveline.llm import bitsliced, jaccard, langid, mixing, packing, pagediff, quality, sharding, substrings, suffixes
 from groveline.llm.common import read
 
 
@@ -14,6 +14,18 @@ def op1_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
+def op2_bidirectional_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.search(read(spark, sf_dir, "embeddings"))
+
+
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -38,6 +50,6 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partenum_join, op5_minimax_shards, op6_weak_supervision, op7_doubled_windows, op8_columnwise_suffixes, op9_length_buckets, op10_sainte_lague_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partenum_join, op2_bidirectional_gru, op3_page_differencing, op4_bit_sliced_topk, op5_minimax_shards, op6_weak_supervision, op7_doubled_windows, op8_columnwise_suffixes, op9_length_buckets, op10_sainte_lague_mix)}
 
 ORACLES: dict[str, str] = {}
