@@ -40,7 +40,7 @@ def profile(members: DataFrame) -> DataFrame:
 
 def thresholds(compounds: DataFrame, high: float = 0.8, low: float = 0.2, higher_is_better: bool = True) -> DataFrame:
     """One row: high_cut, low_cut, global mean and median and count. If less is better the quantiles swap sides."""
-    h, lo = (high, low) if higher_is_better else (1 - high, 1 - low)
+    h, lo = (high, low) if higher_is_better else (round(1 - high, 12), round(1 - low, 12))
     y = "property"
     return compounds.agg(F.percentile(y, F.lit(h)).alias("high_cut"), F.percentile(y, F.lit(lo)).alias("low_cut"), F.avg(y).alias("global_mean"), F.median(y).alias("global_median"), F.count(y).alias("global_count"))
 
