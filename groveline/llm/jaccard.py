@@ -9,8 +9,9 @@ A part that is empty in both sets would agree without saying anything. There are
 needed, and signatures of empty subsets are left out; a set with more empty ones than that can spare also gives its prefix
 elements as signatures (the elements up to which two similar sets must share one), and so does its partner in any pair at stake.
 
-Sets that are equal are one node. In each bucket of a signature all are checked against the one that shares most signatures; where
-a bucket still holds several components after that, its pairs across components are checked. All checks are exact.
+Sets that are equal are one node. In each bucket of a signature all are checked against the one that shares most signatures. Where
+a bucket still holds several components after that, its members are compared by parity bitmaps, which bound their difference from
+below, and pairs across components that can be similar are checked. All checks are exact.
 
 Defined results: a null or wordless text has an empty set and no links; a text with fewer words than a shingle is one shingle;
 repeated rows link; a null doc_id links and is never a component's id unless all are null; an empty table gives an empty result;
@@ -216,6 +217,163 @@ def _checked(pairs: DataFrame, docs: DataFrame, rids: DataFrame, scheme: Scheme)
     return both.mapInArrow(each, "a long, b long")
 
 
+def bitmaps(elements: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """For each row the parity of its elements' hashes, in 16 to 32 bits for each element, a power of two.
+
+    The bits in which two rows differ are at most as many as the elements in which they differ. A bitmap folds to half its length by
+    the exclusive or of its halves.
+    """
+    size = np.diff(offsets)
+    out = []
+    place = (hashing.mix(elements + GOLD) >> np.uint64(20)).astype(np.int64)
+    for i, n in enumerate(size):
+        width = max(64, 16 << int(n).bit_length())
+        bits = np.bincount(place[offsets[i] : offsets[i + 1]] & (width - 1), minlength=width).astype(np.uint8) & 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def _folded(maps: list[bytes]) -> np.ndarray:
+    """The bitmaps as rows of 64-bit words, all folded to the length of the shortest."""
+    width = min(map(len, maps))
+    rows = []
+    for m in maps:
+        x = np.frombuffer(m, np.uint64)
+        while len(x) * 8 > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows.append(x)
+    return np.stack(rows)
+
+
+def near_across(first: np.ndarray, node: np.ndarray, size: np.ndarray, component: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[float, int, int, int, int]]:
+    """(difference, node, node, component, component) of the pairs of one bucket, or of two of its blocks, that lie in different
+    components and whose sizes and bitmaps leave the asked similarity possible. first: the rows of the first block, or all."""
+    fine = _folded(maps)
+    coarse = fine  # a first look at an eighth of the bits, which also bounds the difference from below
+    for _ in range(3 if fine.shape[1] >= 16 else 0):
+        coarse = coarse[:, : coarse.shape[1] // 2] ^ coarse[:, coarse.shape[1] // 2 :]
+    out = []
+    for i in first:
+        other = np.arange(i + 1, len(node)) if len(first) == len(node) else np.arange(len(first), len(node))
+        other = other[(component[other] != component[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
+        for words in (coarse, fine):
+            apart = np.bitwise_count(words[other] ^ words[i]).sum(1, dtype=np.int64)
+            can = apart * (100 + percent) <= (size[i] + size[other]) * (100 - percent)
+            other, apart = other[can], apart[can]
+        for j, d in zip(other.tolist(), apart.tolist(), strict=True):
+            x, y = (i, j) if node[i] < node[j] else (j, i)
+            out.append((d / int(size[i] + size[j]), int(node[x]), int(node[y]), int(component[x]), int(component[y])))
+    return out
+
+
+def picked(pairs: set[tuple[float, int, int, int, int]], most: int) -> list[tuple[int, int]]:
+    """The pairs to check first: of each two components the ``most`` nearest; with 0, the nearest that would join all that can be joined."""
+    out, up, count = [], {}, {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for _, a, b, p, q in sorted(pairs):
+        if most:
+            key = (min(p, q), max(p, q))
+            count[key] = count.get(key, 0) + 1
+            if count[key] <= most:
+                out.append((a, b))
+        elif find(p) != find(q):
+            up[find(p)] = find(q)
+            out.append((a, b))
+    return out
+
+
+def _comparer(most: int, percent: int):
+    """What a task does with its buckets and pairs of blocks."""
+
+    def each(t: pa.Table, sketches: pa.Table) -> pa.Table:
+        of = dict(zip(sketches.column("of_node").to_pylist(), sketches.column("bitmap").to_pylist(), strict=True))
+        sig, low, high = (t.column(c).to_numpy() for c in ("sig", "low", "high"))
+        second = t.column("i").to_numpy() != low
+        order = np.lexsort((second, high, low, sig))
+        sig, low, high, second = sig[order], low[order], high[order], second[order]
+        node, size, component = (t.column(c).to_numpy()[order] for c in ("node", "size", "component"))
+        edge = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
+        found: set[tuple[float, int, int, int, int]] = set()
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            one = int((~second[x:y]).sum())
+            if low[x] == high[x] or 0 < one < y - x:
+                found.update(near_across(np.arange(one), node[x:y], size[x:y], component[x:y], [of[k] for k in node[x:y].tolist()], percent))
+        out = picked(found, most)
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return each
+
+
+#: Rows of a bucket's block: a larger bucket is compared block by block. Rows that a task gets.
+BLOCK, TASK = 1024, 16_384
+
+
+def _across(members: DataFrame, tested: DataFrame, links: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """(components, links) with what links members of one bucket that the check against its centre left in different components.
+
+    Buckets with the same members are one. Members are compared by bitmaps inside their bucket, in blocks of bounded size, and
+    only pairs that can be similar are considered: first those that would join the most, then of each two components that are still
+    apart the nearest few, and more in each round, until all that could link has been checked.
+    """
+    members = members.select("sig", "node", "size")
+    alike = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"), F.min("node").alias("lead")).where("n > 2")
+    buckets = alike.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig"), F.min("lead").alias("lead")).select("sig", "lead", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = written(members.join(buckets, "sig"))
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    sketches = None
+    for most in (0, 8, 64, 4096, 1 << 62):
+        placed = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = placed.groupBy("sig").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("sig")
+        placed = written(placed.join(several, "sig"))
+        rows = placed.count()
+        if not rows:
+            break
+        if sketches is None:
+            sketches = written(_sketched(placed.select("node").distinct().join(nodes.select("node", "rid"), "node"), docs, scheme))
+        block = F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int")
+        dealt = placed.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("sig", "lead", "node", "size", "component", "i", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
+        # buckets with one least member share most others too: in one task, a member's bitmap comes once for all of them
+        task = F.pmod(F.xxhash64("lead", "low", "high"), F.lit(max(1, -(-rows // TASK)))).cast("int")
+        dealt = dealt.select(task.alias("task"), "sig", "node", "size", "component", "i", "low", "high")
+        maps = dealt.select(F.col("task").alias("of_task"), F.col("node").alias("of_node")).distinct().join(sketches, F.col("of_node") == F.col("node")).select("of_task", "of_node", "bitmap")
+
+        found = dealt.groupBy("task").cogroup(maps.groupBy("of_task")).applyInArrow(_comparer(most, scheme.percent), "a long, b long").distinct()
+        possible = written(found)
+        if possible.limit(1).count() == 0:
+            break
+        found = written(possible.join(tested, ["a", "b"], "left_anti"))
+        if found.limit(1).count() == 0:
+            continue
+        links = written(links.unionByName(_checked(found, docs, nodes.select("node", "rid"), scheme)))
+        tested = written(tested.unionByName(found))
+        label = components(links)
+    return label, links
+
+
+def _sketched(wanted: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """node, bitmap. wanted: node and a row that has it."""
+    wanted = written(wanted)
+    sieve = Sieve(wanted)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(sieve.test(batch.column("rid").to_numpy())))
+            texts = hashing.Texts(batch.column("text"))
+            for a, z in texts.groups():
+                elements, at = sets(*texts.bytes(a, z), scheme.words)
+                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(a, z - a), pa.array(bitmaps(elements, at), pa.binary())], ["rid", "bitmap"])
+
+    made = docs.select("rid", "text").mapInArrow(each, "rid long, bitmap binary")
+    return wanted.hint("shuffle_hash").join(made, "rid").dropDuplicates(["node"]).select("node", "bitmap")
+
+
 def linked(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """doc_id, rid, n_shingles, component, component_id for each row of docs; rid: hash of doc_id and text, component: a node of it."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("rid"))
@@ -235,17 +393,7 @@ def linked(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     pairs = written(pairs)
     links = written(_checked(pairs, rows, nodes.select("node", "rid"), scheme))
     label = components(links)
-    # buckets with several components: the pairs across them, but for those with the centre
-    placed = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("sig").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("sig")
-    placed = written(placed.join(several, "sig").select("sig", "node", "size", "component"))
-    a, b = placed.select("sig", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "component")]), placed.select("sig", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "component")])
-    across = a.join(b, "sig").where(F.col("a_component") != F.col("b_component")).where(F.col("a_node") < F.col("b_node"))
-    across = across.where(100 * F.least("a_size", "b_size") >= scheme.percent * F.greatest("a_size", "b_size")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = written(across.join(done, ["a", "b"], "left_anti"))
-    more = written(_checked(across, rows, nodes.select("node", "rid"), scheme))
-    label = components(links.unionByName(more))
+    label, links = _across(members, pairs, links, label, rows, nodes, scheme)
     placed = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = placed.select("node", "component").join(least, "component").select(F.col("node").alias("_node"), "component", "component_id")

@@ -72,6 +72,34 @@ def test_every_near_pair_shares_a_signature(n2, k2):
             assert set(sig[row == 0]) & set(sig[row == 1])
 
 
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        size = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a) + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(1, 200)), np.uint64)]))
+        maps = jaccard.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        x, y = jaccard._folded(maps)
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_join_by_blocks(spark, monkeypatch):
+    """Chains and rings inside one bucket, which the check against the centre leaves apart, with buckets of many blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "TASK", 8)
+    rng = random.Random(77)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(140), rng.randint(1, 4)):
+            w[k] = f"y{rng.randint(0, 40)}"
+        rows.append((i, " ".join(w), "en", "s"))
+    got = jaccard.join(documents(spark, rows))
+    want = by_pairs(rows)
+    assert sorted(map(tuple, got.collect())) == want and len({r[2] for r in want}) > 1
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + rng.randint(0, 30), 100 + rng.randint(0, 30)) for _ in range(25)] + [(200, i) for i in range(201, 260)]
