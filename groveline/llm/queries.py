@@ -52,4 +52,27 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partenum_join, op2_bidirectional_gru, op3_page_differencing, op4_bit_sliced_topk, op5_minimax_shards, op6_weak_supervision, op7_doubled_windows, op8_columnwise_suffixes, op9_length_buckets, op10_sainte_lague_mix)}
 
-ORACLES: dict[str, str] = {}
+# The same in SQL, where SQL can say it. Elsewhere tests/llm holds the queries against brute force.
+WORDS = "w AS (SELECT doc_id, unnest(list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS word, generate_subscripts(list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), 1) AS i FROM documents)"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP1 = f"""
+WITH RECURSIVE {WORDS.format(text=LOWER)}, n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+  g AS (SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM w),
+  s AS (SELECT DISTINCT doc_id, s FROM g JOIN n USING (doc_id) WHERE i <= greatest(n - 3, 1)), z AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 85 * (x.k + y.k - c)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+  r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), m AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(z.k, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id FROM documents d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id"""
+OP4 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+OP7 = f"""
+WITH {WORDS.format(text="coalesce(text, '')")}, n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+  g AS (SELECT doc_id, i, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h FROM w),
+  r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM g JOIN n USING (doc_id) WHERE i <= n - 34) WHERE c > 1),
+  k AS (SELECT w.doc_id, w.i, word, max(r.i) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.i),
+  o AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN o USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_partenum_join": OP1, "op4_bit_sliced_topk": OP4, "op7_doubled_windows": OP7}
