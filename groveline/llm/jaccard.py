@@ -266,6 +266,10 @@ def near_across(first: np.ndarray, node: np.ndarray, size: np.ndarray, component
     return out
 
 
+#: Stands among the picked pairs for pairs that were left for a later round; no node is 0.
+MORE = (0, 0)
+
+
 def picked(pairs: set[tuple[float, int, int, int, int]], most: int) -> list[tuple[int, int]]:
     """The pairs to check first: of each two components the ``most`` nearest; with 0, the nearest that would join all that can be joined."""
     out, up, count = [], {}, {}
@@ -285,7 +289,7 @@ def picked(pairs: set[tuple[float, int, int, int, int]], most: int) -> list[tupl
         elif find(p) != find(q):
             up[find(p)] = find(q)
             out.append((a, b))
-    return out
+    return out if len(out) == len(pairs) else [*out, MORE]
 
 
 def _comparer(most: int, percent: int):
@@ -346,14 +350,17 @@ def _across(members: DataFrame, tested: DataFrame, links: DataFrame, label: Data
 
         found = dealt.groupBy("task").cogroup(maps.groupBy("of_task")).applyInArrow(_comparer(most, scheme.percent), "a long, b long").distinct()
         possible = written(found)
-        if possible.limit(1).count() == 0:
-            break
-        found = written(possible.join(tested, ["a", "b"], "left_anti"))
+        last = possible.where("a = 0").limit(1).count() == 0
+        found = written(possible.where("a != 0").join(tested, ["a", "b"], "left_anti"))
         if found.limit(1).count() == 0:
+            if last:
+                break
             continue
         links = written(links.unionByName(_checked(found, docs, nodes.select("node", "rid"), scheme)))
         tested = written(tested.unionByName(found))
         label = components(links)
+        if last:
+            break
     return label, links
 
 
