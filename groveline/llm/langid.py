@@ -203,11 +203,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, shape: Shape) -> list[tuple[str, bytes]]:
-    """(language, window) of the sampled rows: those with the least hash of their id, whatever the partitions."""
-    learn = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    """(language, window) of the sampled rows: those with the least hash of their id, whatever the partitions.
+
+    Only labelled rows under a hash bound that lets through some four times ``shape.rows`` of them are looked at, so that what tasks send to
+    the driver doesn't grow with their number.
+    """
+    labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    few = min(1.0, 4 * shape.rows / max(1, labelled.count()))
+    place = F.pmod(F.xxhash64(F.lit(shape.seed), "doc_id"), F.lit(1 << 40))
+    learn = labelled.where((place <= int(few * (1 << 40))) & (F.length("text") > 0))
     most = F.greatest(F.lit(1), F.length("text") - shape.window + 1)
     cuts = [F.substring("text", (F.pmod(F.xxhash64(F.lit(i), "doc_id"), most) + 1).cast("int"), F.lit(shape.window)) for i in range(shape.windows)]
-    least = learn.select(F.xxhash64(F.lit(shape.seed), "doc_id").alias("h"), "doc_id", "lang", F.array(*cuts).alias("cuts")).orderBy("h", "doc_id", "lang").limit(shape.rows)
+    least = learn.select(place.alias("h"), "doc_id", "lang", F.array(*cuts).alias("cuts")).orderBy("h", "doc_id", "lang").limit(shape.rows)
     return [(r["lang"], c.encode()[: shape.window]) for r in least.collect() for c in r["cuts"]]
 
 
