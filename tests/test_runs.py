@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -155,7 +156,7 @@ def test_stream_equals_table(spark, tmp_path):
 
 def _rows(df):
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    clean = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     return Counter(tuple(repr(clean(getattr(v, "item", lambda v=v: v)())) for v in row) for row in df.astype(object).values.tolist())
 
 
