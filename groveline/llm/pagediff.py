@@ -3,9 +3,10 @@
 Each page is cut into lines, one for each block. Pages of a host stand in the order of their paths; each is paired with the neighbour
 whose path agrees with its own the longest, lines are aligned by longest common subsequence, and lines that the two share are
 deleted: what a site puts on every page is shared by neighbours, the article isn't. What no neighbour shows goes by the markup: lines
-of menus, headers, footers, sidebars, notices, adverts, forms and reader comments. Paragraphs and headings inside a page's article
-element stay even where a neighbour has them (articles are reprinted), and a neighbour that is a copy of the page says nothing
-about it; then the other neighbour is taken.
+of menus, headers, footers, sidebars, notices, adverts, forms and reader comments. Lines that are neither shared nor of such a part
+stay, inside article and main elements or outside. Of shared lines only paragraphs and headings inside a page's article element stay
+(articles are reprinted and cite each other), and a neighbour that is a copy of the page says nothing about it; then the other
+neighbour is taken.
 
 Defined results: null or empty html gives an empty text; a null or odd url is a host of its own kind with its whole text as path; a
 page alone on its host has only its markup; repeated rows are pages of their own, copies of each other; an empty table gives an empty
@@ -37,6 +38,7 @@ NAMED = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead topbar comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager widget toolbar skip legal copyright".split()
 )
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 PIECES = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
@@ -46,19 +48,21 @@ BLOCK_LEVEL = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Open:
-    """An element that is open: whether its text is silent, stands around the article, or inside one."""
+    """An element that is open: whether its text is silent, stands around the article, inside an article or main element, or is prose of an article element."""
 
     tag: str
     silent: bool = False
     around: bool = False
     article: bool = False
+    element: bool = False
+    prose: bool = False
 
 
 @dataclass
 class Page:
     lines: list[str] = field(default_factory=list)
     around: list[bool] = field(default_factory=list)
-    article: list[bool] = field(default_factory=list)
+    prose: list[bool] = field(default_factory=list)
 
 
 def set_apart(attributes: str) -> bool:
@@ -85,7 +89,7 @@ def cut(source: str) -> Page:
         if line:
             page.lines.append(line)
             page.around.append(stack[-1].around)
-            page.article.append(stack[-1].article)
+            page.prose.append(stack[-1].prose)
 
     at, size = 0, len(source)
     while at < size:
@@ -121,11 +125,12 @@ def cut(source: str) -> Page:
         while stack[-1].tag in CLOSES.get(tag, {"p"} if tag not in INLINE else ()):
             stack.pop()
         up = stack[-1]
-        now = Open(tag, up.silent, up.around, up.article)
+        now = Open(tag, up.silent, up.around, up.article, up.element, up.prose or up.element and tag in PROSE)
         if tag in RAW or tag in SILENT:
             now.silent = True
         if tag in ("article", "main"):
             now.article, now.around = not set_apart(attributes), set_apart(attributes) or any(o.article and o.around for o in stack)
+            now.element = now.article and (up.element or tag == "article")
         elif tag == "body":
             now.silent = now.around = False
         elif tag in AROUND or tag == "header" and not up.article or set_apart(attributes):
@@ -186,7 +191,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 page = cut(source or "")
                 raw = [x.encode("utf-8", "replace") for x in page.lines]
                 hashes.append(np.array([zlib.crc32(x) << 31 ^ zlib.adler32(x) for x in raw], np.int64).tobytes())
-                flags.append(bytes(a + 2 * b for a, b in zip(page.around, page.article, strict=True)))
+                flags.append(bytes(a + 2 * b for a, b in zip(page.around, page.prose, strict=True)))
                 text = b"\n".join(raw)
                 zipped.append(pa.compress(text, codec="zstd", asbytes=True))
                 sizes.append(len(text))
@@ -222,7 +227,7 @@ def extract(pages: DataFrame, cell: int = 4096, copy: float = 0.6) -> DataFrame:
             for i, path in enumerate(c["path"]):
                 size = c["size"][i]
                 lines = pa.decompress(c["zip"][i], decompressed_size=size, codec="zstd", asbytes=True).decode().split("\n") if size else []
-                own, around, inside = _numbers(c["hashes"][i]), [f & 1 for f in c["flags"][i]], [f & 2 for f in c["flags"][i]]
+                own, around, prose = _numbers(c["hashes"][i]), [f & 1 for f in c["flags"][i]], [f & 2 for f in c["flags"][i]]
                 near = sorted(("before", "after"), key=lambda n: -agreement(path, c[f"{n}_path"][i]))
                 shared = [False] * len(own)
                 for n in near:
@@ -232,8 +237,7 @@ def extract(pages: DataFrame, cell: int = 4096, copy: float = 0.6) -> DataFrame:
                         shared = found
                         if other:
                             break
-                has_article = any(b and not a for a, b in zip(around, inside, strict=True))
-                texts.append(" ".join(x for x, s, a, b in zip(lines, shared, around, inside, strict=True) if not a and (b if has_article else not s)))
+                texts.append(" ".join(x for x, s, a, b in zip(lines, shared, around, prose, strict=True) if not a and (b or not s)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     wanted = ["page_id", "url", "path", "hashes", "flags", "zip", "size", "before_path", "before_hashes", "after_path", "after_hashes"]

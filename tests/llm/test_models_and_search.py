@@ -128,6 +128,18 @@ def test_pages_of_the_tables(spark):
         assert got[r["page_id"]] == (text, len(text))
 
 
+def extracted(spark, rows, **params):
+    return {r["page_id"]: r["text"] for r in pagediff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), **params).collect()}
+
+
+def test_pages_differ_inside_article_and_main(spark):
+    """What neighbours repeat goes inside the elements too, but for paragraphs of an article; what none has stays outside them."""
+    page = lambda tag, i: f"<body><{tag}><div>Listen to this page</div><p>Body {i}.</p><p>Cited.</p><div>Own box {i}</div></{tag}><article><p>Teaser {i}</p></article><div>Rest {i}</div><div>All our topics</div></body>"
+    for tag, cited in (("article", " Cited."), ("main", ""), ("div", "")):
+        got = extracted(spark, [(i, f"http://h.example/{i}", page(tag, i)) for i in range(3)])
+        assert got == {i: f"Body {i}.{cited} Own box {i} Teaser {i} Rest {i}" for i in range(3)}
+
+
 def by_product(rows, k=5, every=50):
     x = {}
     for i, v in sorted((r for r in rows if r[0] is not None and r[1] is not None and all(c is not None and np.isfinite(c) for c in r[1])), key=lambda r: r[0]):
