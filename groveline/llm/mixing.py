@@ -2,7 +2,9 @@
 
 Sources get whole numbers of blocks by highest quotients; a source's blocks go to its shards by highest quotients too; inside a
 shard a seeded permutation picks which blocks of the source's stream of words are taken. A quota beyond the stream takes it whole
-as often as it fits and picks blocks for the rest.
+as often as it fits and picks blocks for the rest. A stream's last block may be short, and of the last block picked only as many
+words are taken as are due, so that every quota fits its streams. A source whose target is all that may be repeated is taken whole
+that often; where a source's streams have hardly room for their blocks, its words are dealt in proportion.
 
 Defined results: a null or wordless text has size 0 and nothing is taken; a null source is a source of its own and comes last;
 a source without words has target 0; repeated rows are documents of their own; an empty table gives an empty result; columns
@@ -22,6 +24,8 @@ from groveline.llm.common import SPACE, n_words, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
+#: A source is spread over so many shards that each of its streams has this many blocks.
+STREAM_BLOCKS = 64
 
 
 def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int]) -> list[int]:
@@ -65,7 +69,8 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MA
     """(documents placed in their shard's stream of words, what each stream gives, block length in words).
 
     A stream is one source in one shard. Shards grow in number with the corpus, so that a stream stays near ``shard_tokens`` words
-    at most and a hot source is spread over all of them. The driver holds one row for each source.
+    at most and a hot source is spread over all of them; a small source has fewer, down to one. The driver holds one row for each
+    source.
     """
     spark = docs.sparkSession
     slim = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
@@ -74,32 +79,38 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MA
     sizes = [found[s] for s in names]
     total, wanted = sum(sizes), targets(sizes, weights, max_repeat) if sizes else []
     block = max(16, min(1024, total >> 16))
-    quota = sainte_lague(wanted, round(sum(wanted) / block), [max_repeat * s // block for s in sizes])
-    shards = max(1, -(-total // shard_tokens))
-    schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("quota", T.LongType())])
-    by_source = spark.createDataFrame([*zip(names, sizes, wanted, quota, strict=True)], schema)
-
-    placed = slim.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int"))
+    quota = sainte_lague(wanted, round(sum(wanted) / block), [-(-max_repeat * s // block) for s in sizes])
+    due = [max_repeat * s if w >= max_repeat * s else min(q * block, max_repeat * s) for s, w, q in zip(sizes, wanted, quota, strict=True)]
+    most = max(1, -(-total // shard_tokens))
+    shards = [max(1, min(most, s // (STREAM_BLOCKS * block))) for s in sizes]
+    schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("quota", T.LongType()), T.StructField("due", T.LongType()), T.StructField("shards", T.IntegerType())])
+    by_source = spark.createDataFrame([*zip(names, sizes, wanted, quota, due, shards, strict=True)], schema)
+
+    placed = slim.join(F.broadcast(by_source.select("_source", "shards")), F.col("source").eqNullSafe(F.col("_source")), "left")
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int")).drop("_source", "shards")
     streams = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    streams = streams.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    streams = streams.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "shards")
     # a source's blocks to its shards: the rounded share, then the highest quotients more or the lowest less
     ideal = F.col("quota") * F.col("words") / F.col("source_size")
     cap = F.floor(F.lit(max_repeat) * F.col("words") / block)
     own = Window.partitionBy("source")
     streams = streams.withColumn("first", F.when(F.col("words") > 0, F.least(F.floor(ideal + 0.5), cap)).otherwise(0).cast("long"))
+    room = F.sum(cap).over(own) - 2 * F.count(F.lit(1)).over(own)
+    streams = streams.withColumn("tight", F.col("due") > room * block)
     streams = streams.withColumn("short", F.col("quota") - F.sum("first").over(own)).withColumn("ideal", ideal)
     step = F.explode(F.sequence(F.lit(1), F.ceil(F.abs("short") * F.col("words") / F.greatest(F.col("source_size"), F.lit(1))).cast("int") + 2)).alias("k")
-    more = streams.where("short != 0 AND words > 0").select("source", "shard", "words", "first", "short", cap.alias("cap"), step)
+    more = streams.where("short != 0 AND words > 0 AND NOT tight").select("source", "shard", "words", "first", "short", cap.alias("cap"), step)
     more = more.where("(short > 0 AND first + k <= cap) OR (short < 0 AND first - k >= 0)")
     quotient = F.when(F.col("short") > 0, -F.col("words") / (2 * (F.col("first") + F.col("k")) - 1)).otherwise(F.col("words") / (2 * (F.col("first") - F.col("k")) + 1))
     ranked = more.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy(quotient, "shard", "k"))).where("_r <= abs(short)")
     change = ranked.groupBy(F.col("source").alias("_s"), F.col("shard").alias("_h")).agg(F.sum(F.signum("short")).cast("long").alias("change"))
     streams = streams.join(change, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")), "left")
-    give = (F.col("first") + F.coalesce(F.col("change"), F.lit(0))) * block
+    dealt = (F.col("first") + F.coalesce(F.col("change"), F.lit(0))) * block
+    give = F.when(F.col("tight") & (F.col("words") > 0), F.least(F.floor(F.col("words") * (F.col("due") / F.col("source_size"))), max_repeat * F.col("words"))).otherwise(dealt)
     streams = streams.select("source", "shard", "source_size", "target", "words", give.alias("give"))
     streams = streams.withColumn("whole", F.when(F.col("words") > 0, F.floor(F.col("give") / F.col("words"))).otherwise(0).cast("long"))
-    streams = streams.withColumn("picked", F.floor((F.col("give") - F.col("whole") * F.col("words")) / block).cast("long"))
-    streams = streams.withColumn("blocks", F.floor(F.col("words") / block).cast("long"))
+    streams = streams.withColumn("rest", (F.col("give") - F.col("whole") * F.col("words")).cast("long"))
+    streams = streams.withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
     # i -> (step * i + shift) mod blocks is a permutation if step and blocks have no common factor: a prime above them that doesn't divide them
     streams = streams.withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.col("blocks"), F.lit(1))))
     start = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
@@ -112,24 +123,33 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MA
 STEPS = (611_953, 746_773, 871_061, 960_019)
 
 
-def chosen(block_no, streams_blocks="blocks"):
-    """Whether the seeded permutation puts this block among the picked ones."""
-    n = F.col(streams_blocks)
+def place(block_no):
+    """The place of a block in the seeded permutation of its stream's blocks."""
+    n = F.col("blocks")
     step = F.coalesce(*[F.when(n % p != 0, F.lit(p)) for p in STEPS], F.lit(1))
-    return F.pmod(step * block_no + F.col("shift"), F.greatest(n, F.lit(1))) < F.col("picked")
+    return F.pmod(step * block_no + F.col("shift"), F.greatest(n, F.lit(1)))
+
+
+def picked(block_no, block: int):
+    """How many of a block's words are taken, from its first on: blocks go by their places until the rest of the stream's words is met."""
+    last = F.col("blocks") - 1
+    missing = F.col("blocks") * block - F.col("words")  # in the last block
+    before = place(block_no) * block - F.when(place(last) < place(block_no), missing).otherwise(0)
+    return F.greatest(F.lit(0), F.least(F.lit(block) - F.when(block_no == last, missing).otherwise(0), F.col("rest") - before))
 
 
 def joined(placed: DataFrame, streams: DataFrame) -> DataFrame:
-    right = streams.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "source_size", "target", "whole", "picked", "blocks", "shift")
+    right = streams.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "source_size", "target", "words", "whole", "rest", "blocks", "shift")
     return placed.join(right, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")), "left").drop("_s", "_h")
 
 
 def runs(block: int):
     """Array of (from, to): the document's words, counted from 0, that the picked blocks cover."""
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    inside = F.when((F.col("size") > 0) & (F.col("picked") > 0), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    hits = F.filter(inside, lambda b: (b < F.col("blocks")) & chosen(b))
-    return F.transform(hits, lambda b: F.struct((F.greatest(b * block, F.col("start")) - F.col("start")).alias("from"), (F.least((b + 1) * block, F.col("start") + F.col("size")) - F.col("start")).alias("to")))
+    inside = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    end = F.col("start") + F.col("size")
+    spans = F.transform(inside, lambda b: F.struct((F.greatest(b * block, F.col("start")) - F.col("start")).alias("from"), (F.least(b * block + picked(b, block), end) - F.col("start")).alias("to")))
+    return F.filter(spans, lambda r: r["from"] < r["to"])
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:

@@ -153,6 +153,20 @@ def test_mix(rows, docs):
     assert all(abs(taken[s] - target[s]) <= 48 for s in names)
 
 
+def test_small_sources_get_their_targets_over_many_shards(spark):
+    """With more shards than a small source has documents, and streams shorter than a block."""
+    sizes = {"a": 9, "b": 61, "c": 300, "d": 4_000, "e": 40_000, None: 20_000}
+    rows = [(k * 100_000 + i, "w " * min(20, n - i), "en", s) for k, (s, n) in enumerate(sizes.items()) for i in range(0, n, 20)]
+    docs = documents(spark, rows)
+    out = mixing.mix(docs, shard_tokens=100).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum", "target": "max", "source_size": "max"}).collect()
+    assert {r["source"]: r["max(source_size)"] for r in out} == sizes
+    assert {r["source"] for r in out if r["max(target)"] == 3 * r["max(source_size)"]} >= {"a", "b", "c"}
+    for r in out:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= (0 if r["max(target)"] == 3 * r["max(source_size)"] else 16)
+    total = mixing.mixed(docs, shard_tokens=100).groupBy("source").agg({"text": "count"}).count()
+    assert total == len(sizes)
+
+
 def test_targets_stop_at_three_times_the_size():
     assert mixing.targets([10, 1000, 1000]) == [30.0, (2010 - 30) * 2 / 3, (2010 - 30) / 3]
     assert mixing.targets([0, 5]) == [0.0, 5.0] and mixing.targets([]) == []
