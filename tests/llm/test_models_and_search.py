@@ -140,6 +140,18 @@ def test_pages_differ_inside_article_and_main(spark):
         assert got == {i: f"Body {i}.{cited} Own box {i} Teaser {i} Rest {i}" for i in range(3)}
 
 
+def test_pages_of_templates_and_among_copies(spark):
+    """Ten unmarked lines of a template beside five of the page are no copy; beyond a run of copies the next page is met."""
+    menu = "".join(f"<div>Topic {k}</div>" for k in range(10))
+    page = lambda i, n: f"<body>{menu}" + "".join(f"<div>Story {i} has line {k}</div>" for k in range(n)) + "<div>Imprint</div></body>"
+    text = lambda i, n: " ".join(f"Story {i} has line {k}" for k in range(n))
+    assert extracted(spark, [(i, f"http://h.example/{i}", page(i, 5)) for i in range(4)]) == {i: text(i, 5) for i in range(4)}
+    copies = [(i, f"http://h.example/c/{i}", page(9, 30)) for i in range(5)]
+    near = [(5, "http://h.example/c/5", page(9, 30).replace("line 7<", "line seven<"))]
+    got = extracted(spark, [*copies, *near, (6, "http://h.example/z", page(6, 5))])
+    assert got == {**{i: text(9, 30) for i in range(5)}, 5: text(9, 30).replace("line 7 ", "line seven "), 6: text(6, 5)}
+
+
 def by_product(rows, k=5, every=50):
     x = {}
     for i, v in sorted((r for r in rows if r[0] is not None and r[1] is not None and all(c is not None and np.isfinite(c) for c in r[1])), key=lambda r: r[0]):
