@@ -10,14 +10,16 @@ form a run, and each page is paired with the nearest page of another run, before
 tried on each side. A copy has nine tenths of both pages' unmarked lines and of their bytes in common.
 
 Defined results: null or empty html gives an empty text; a null or odd url is a host of its own kind with its whole text as path; a
-page alone on its host has only its markup; repeated rows are pages of their own, copies of each other; an empty table gives an empty
+page alone on its host has only its markup; pages of one path stand by page_id, url and a hash of html; repeated rows are pages of their own, copies of each other; an empty table gives an empty
 result; columns other than page_id, url and html are not read. Pages are handled whole.
 """
 
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,8 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groveline.llm.common import written
-
 # Element names of HTML, and words by which sites name the parts around an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style noscript template iframe svg math canvas object audio video select textarea button title".split())
@@ -194,26 +194,60 @@ def compare(page: Seen, other: Seen, copy: float) -> tuple[list[bool], bool]:
     return shared, len(both) >= copy * max(page.lines, other.lines) and sum(both) >= copy * max(page.weight, other.weight)
 
 
+def joins(page: Seen, before: Seen, copy: float) -> bool:
+    """Whether a page goes on with the run of the page before it."""
+    return page.host == before.host and bool(page.lines) == bool(before.lines) and compare(page, before, copy)[1]
+
+
 def run_starts(pages: list[Seen], copy: float) -> list[int]:
     """Where runs of copies start among pages in order."""
-    return [i for i, p in enumerate(pages) if not i or p.host != pages[i - 1].host or not compare(p, pages[i - 1], copy)[1]]
+    return [i for i, p in enumerate(pages) if not i or not joins(p, pages[i - 1], copy)]
 
 
-def shared_lines(pages: list[Seen], copy: float, tries: int = 3) -> list[list[bool]]:
-    """For each of the pages in order, which of its lines it shares with its neighbour."""
+def edges(pages: list[Seen], copy: float, tries: int) -> tuple[list[Seen], list[Seen]]:
+    """Of pages in order: the first page of each of the first runs, and from the end back the last page of each of the last runs."""
     starts = run_starts(pages, copy)
-    ends = [i - 1 for i in [*starts[1:], len(pages)]]
+    ends = [i - 1 for i in [*starts[1:], len(pages)]][::-1]
+    heads, tails = [pages[i] for i in starts[: tries + 1]], [pages[i] for i in ends[: tries + 1]]
+    return [p for p in heads if p.host == pages[0].host], [p for p in tails if p.host == pages[-1].host]
+
+
+def around_cells(cells: list[tuple[list[Seen], list[Seen]]], copy: float, tries: int) -> list[tuple[list[Seen], list[Seen]]]:
+    """From the edges of cells in order, for each cell: the last pages of the runs before it and the first pages of those after it,
+    nearest first, as far as a page of its host can need them."""
+    left, right = [[] for _ in cells], [[] for _ in cells]
+    for d in range(1, len(cells)):
+        heads, tails = cells[d - 1]
+        far = left[d - 1]
+        more = far[joins(heads[0], far[0], copy) :] if far and len(tails) <= tries and heads[0].host == tails[0].host == far[0].host else []
+        left[d] = [*tails, *more][: tries + 1]
+    for d in range(len(cells) - 2, -1, -1):
+        heads, tails = cells[d + 1]
+        far = right[d + 1]
+        more = far[joins(far[0], tails[0], copy) :] if far and len(heads) <= tries and heads[0].host == tails[0].host == far[0].host else []
+        right[d] = [*heads, *more][: tries + 1]
+    return list(zip(left, right, strict=True))
+
+
+def shared_lines(pages: list[Seen], copy: float, tries: int = 3, left: list[Seen] = (), right: list[Seen] = ()) -> list[list[bool]]:
+    """For each of the pages in order, which of its lines it shares with its neighbour; left and right: what stands around them."""
+    m = len(left)
+    every = [*left[::-1], *pages, *right]
+    starts = [*range(m), *(m + i for i in run_starts(pages, copy) if i or not m or not joins(pages[0], left[0], copy))]
+    starts += [m + len(pages) + i for i, p in enumerate(right) if i or not joins(p, pages[-1], copy)]
+    ends = [i - 1 for i in [*starts[1:], len(every)]]
     out, k = [], 0
-    for i, p in enumerate(pages):
-        k += i > ends[k]
+    for i, p in enumerate(pages, m):
+        while i > ends[k]:
+            k += 1
         found = []
         for side in (ends[max(0, k - tries) : k][::-1], starts[k + 1 : k + 1 + tries]):
             for j in side:
-                if pages[j].host != p.host:
+                if every[j].host != p.host:
                     break
-                shared, copied = compare(p, pages[j], copy)
+                shared, copied = compare(p, every[j], copy)
                 if not copied:
-                    found.append((agreement(p.path, pages[j].path), shared))
+                    found.append((agreement(p.path, every[j].path), shared))
                     break
         out.append(max(found, key=lambda x: x[0])[1] if found else [False] * len(p.hashes))
     return out
@@ -229,33 +263,66 @@ def seen(c: dict[str, list], i: int) -> Seen:
     return Seen(c["host"][i], c["path"][i], numbers(c["hashes"][i], np.int64), [bool(f & 1) for f in c["flags"][i]], numbers(c["sizes"][i], np.int32))
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, and the page's lines: their hashes, flags, sizes and text."""
+KEY = ["host", "path", "page_id", "url", "mark"]
+
+
+def place(host: str, path: str, page_id: int | None, url: str | None, mark: int) -> tuple:
+    """What pages are ordered by."""
+    return host, path, page_id is not None, page_id or 0, url or "", mark
+
+
+def keyed(pages: DataFrame) -> DataFrame:
+    """KEY and html; mark: a hash of html."""
+    url = F.coalesce("url", F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    path = F.when(host == "", url).otherwise(F.regexp_extract(url, r"^[^:]*://[^/?#]*([^?#]*)", 1))
+    return pages.select(host.alias("host"), path.alias("path"), "page_id", "url", F.xxhash64("html").alias("mark"), "html")
+
+
+def cuts(rows: DataFrame, cell: int, cell_bytes: int, each: int = 32) -> list[tuple]:
+    """Where the order of pages is cut into cells, from a sample of ``each`` places a cell. No result depends on where."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    cells = max(-(-n // cell), -(-size // cell_bytes))
+    if cells < 2:
+        return []
+    weight = F.greatest(F.lit(1 / cell), F.coalesce(F.octet_length("html"), F.lit(0)) / cell_bytes)
+    some = rows.where(F.rand(7) < min(1.0, each * cells / n)).select(*KEY, weight.alias("weight")).collect()
+    some = sorted((place(*r[:5]), r[5]) for r in some)
+    total, found, so_far = sum(w for _, w in some), [], 0.0
+    for at, w in some:
+        if int(so_far / total * cells) < int((so_far + w) / total * cells) < cells:
+            found.append(at)
+        so_far += w
+    return found
+
+
+def parsed(rows: DataFrame, borders: list[tuple], text: bool = True) -> DataFrame:
+    """KEY, the page's cell, and its lines: their hashes, flags, sizes and, if wanted, text."""
     import zlib
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, flags, lengths, zipped, sizes = [], [], [], [], []
+            keys = zip(*(batch.column(n).to_pylist() for n in KEY), strict=True)
+            cells = pa.array([bisect_right(borders, place(*k)) for k in keys], pa.int32())
             for source in batch.column("html").to_pylist():
                 page = cut(source or "")
                 raw = [x.encode("utf-8", "replace") for x in page.lines]
                 hashes.append(np.array([zlib.crc32(x) << 31 ^ zlib.adler32(x) for x in raw], np.int64).tobytes())
                 flags.append(bytes(a + 2 * b for a, b in zip(page.around, page.prose, strict=True)))
                 lengths.append(np.array([len(x) for x in raw], np.int32).tobytes())
-                text = b"\n".join(raw)
-                zipped.append(pa.compress(text, codec="zstd", asbytes=True))
-                sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("path"), pa.array(hashes, pa.binary()), pa.array(flags, pa.binary()), pa.array(lengths, pa.binary()), pa.array(zipped, pa.binary()), pa.array(sizes, pa.int64())], ["page_id", "url", "host", "path", "hashes", "flags", "sizes", "zip", "size"])
+                joined = b"\n".join(raw) if text else b""
+                zipped.append(pa.compress(joined, codec="zstd", asbytes=True) if text else None)
+                sizes.append(len(joined))
+            made = [cells, pa.array(hashes, pa.binary()), pa.array(flags, pa.binary()), pa.array(lengths, pa.binary()), pa.array(zipped, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in KEY), *made], [*KEY, "cell", "hashes", "flags", "sizes", "zip", "size"])
 
-    url = F.coalesce("url", F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.when(host == "", url).otherwise(F.regexp_extract(url, r"^[^:]*://[^/?#]*([^?#]*)", 1))
-    return pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html").mapInArrow(each, "page_id long, url string, host string, path string, hashes binary, flags binary, sizes binary, zip binary, size long")
+    return rows.mapInArrow(each, "host string, path string, page_id long, url string, mark long, cell int, hashes binary, flags binary, sizes binary, zip binary, size long")
 
 
 def in_order(c: dict[str, list]) -> list[int]:
     """The places of rows in the order of their pages."""
-    return sorted(range(len(c["path"])), key=lambda i: (c["host"][i], c["path"][i], c["page_id"][i] is not None, c["page_id"][i] or 0, c["url"][i] or "", c["hashes"][i]))
+    return sorted(range(len(c["path"])), key=lambda i: place(*(c[n][i] for n in KEY)))
 
 
 def texts(c: dict[str, list], order: list[int], shared: list[list[bool]]) -> list[str]:
@@ -268,24 +335,34 @@ def texts(c: dict[str, list], order: list[int], shared: list[list[bool]]) -> lis
     return out
 
 
-def extract(pages: DataFrame, cell: int = 4096, copy: float = 0.9) -> DataFrame:
+def edges_of_cells(lines: DataFrame, copy: float, tries: int) -> dict[int, tuple[list[Seen], list[Seen]]]:
+    """What stands around each cell: a few pages a cell, by way of the driver."""
+
+    def each(table: pa.Table) -> pa.Table:
+        c = {n: table.column(n).to_pylist() for n in table.column_names}
+        both = edges([seen(c, i) for i in in_order(c)], copy, tries)
+        return pa.table({"cell": pa.array(c["cell"][:1], pa.int32()), "edges": pa.array([pickle.dumps(both)], pa.binary())})
+
+    found = lines.drop("zip", "size").groupBy("cell").applyInArrow(each, "cell int, edges binary").collect()
+    found = sorted(((r["cell"], pickle.loads(r["edges"])) for r in found), key=lambda x: x[0])
+    return dict(zip((cell for cell, _ in found), around_cells([e for _, e in found], copy, tries), strict=True))
+
+
+def extract(pages: DataFrame, cell: int = 4096, copy: float = 0.9, tries: int = 3, cell_bytes: int = 16 << 20) -> DataFrame:
     """page_id, url, text, n_chars for each page.
 
-    A host with more than ``cell`` pages is split by all but the last two characters of the path, so that neighbours stay together
-    and no task holds a host. Pages with ``copy`` of their unmarked lines and bytes in common are copies.
+    Pages in order of host and path are cut into ranges of about ``cell`` pages or ``cell_bytes`` of html, so that no task holds a
+    host; each range knows the runs next to it, so that a page meets the same neighbours wherever the cuts are. Pages with ``copy``
+    of their unmarked lines and bytes in common are copies; ``tries`` runs are tried on each side.
     """
-    lines = parsed(pages)
-    url = F.coalesce("url", F.lit(""))
-    counted = pages.select(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("_host")).groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
-    hosts = written(counted.where(F.col("_n") > cell))
-    stem = F.expr("substring(path, 1, greatest(length(path) - 2, 1))")
-    split = F.coalesce(F.pmod(F.xxhash64(stem), F.ceil(F.col("_n") / cell)), F.lit(0))
-    placed = lines.join(hosts, F.col("host") == F.col("_host"), "left").withColumn("_cell", split).drop("_host", "_n")
+    rows = keyed(pages)
+    borders = cuts(rows, cell, cell_bytes)
+    beside = edges_of_cells(parsed(rows, borders, text=False), copy, tries) if borders else {}
 
     def each(table: pa.Table) -> pa.Table:
         c = {n: table.column(n).to_pylist() for n in table.column_names}
         order = in_order(c)
-        text = texts(c, order, shared_lines([seen(c, i) for i in order], copy))
+        text = texts(c, order, shared_lines([seen(c, i) for i in order], copy, tries, *beside.get(c["cell"][0], ((), ()))))
         return pa.table({"page_id": pa.array([c["page_id"][i] for i in order], pa.int64()), "url": pa.array([c["url"][i] for i in order], pa.string()), "text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
 
-    return placed.groupBy("host", "_cell").applyInArrow(each, "page_id long, url string, text string, n_chars long")
+    return parsed(rows, borders).groupBy("cell").applyInArrow(each, "page_id long, url string, text string, n_chars long")

@@ -152,6 +152,25 @@ def test_pages_of_templates_and_among_copies(spark):
     assert got == {**{i: text(9, 30) for i in range(5)}, 5: text(9, 30).replace("line 7 ", "line seven "), 6: text(6, 5)}
 
 
+def test_pages_meet_the_same_neighbours_in_cells_of_any_size(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        parts = [f"Line {rng.randint(0, 5)} of {i // 12}" for _ in range(rng.randint(0, 4))]
+        body = parts + [f"Own {i} {k}" for k in range(rng.choice((0, 1, 6)))]
+        if i and rng.random() < 0.4:
+            rows.append((i, f"http://h{i // 50}.example/{'abc'[i % 3]}/{rng.randint(0, 200)}", rows[-1][2] if rng.random() < 0.7 else rows[0][2]))
+        else:
+            rows.append((i, f"http://h{i // 50}.example/{rng.choice('abcd')}/{rng.randint(0, 200)}", "".join(f"<div>{x}</div>" for x in body)))
+    rows += [(200 + i, f"http://h0.example/b/same/{i}", "<div>Line 1</div><div>one</div>") for i in range(9)] + [(300 + i, "http://h1.example/b", None) for i in range(5)]
+    whole = extracted(spark, rows)
+    assert len(whole) == len(rows) and sum(t != "" for t in whole.values()) > 60
+    assert extracted(spark, rows, cell=1) == extracted(spark, rows, cell=3) == whole
+    pages = {i: f"<div>Part {i // 2}</div><div>Story {i}</div>" for i in range(40)}
+    rows = [(i, f"http://h.example/{i // 2:02}/{i * 37 % 41:02}-story", p) for i, p in pages.items()]
+    assert extracted(spark, rows, cell=2) == {i: f"Story {i}" for i in pages}
+
+
 def by_product(rows, k=5, every=50):
     x = {}
     for i, v in sorted((r for r in rows if r[0] is not None and r[1] is not None and all(c is not None and np.isfinite(c) for c in r[1])), key=lambda r: r[0]):
