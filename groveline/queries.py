@@ -423,12 +423,7 @@ def q_mwu_p(spark, d):
 
 @query()
 def q_permutation(spark, d):
-    """Random groups are drawn from a hash-ordered sample of at most 100000 prices."""
-    import numpy as np
-
-    p = parts(spark, d)
-    some = [x["property"] for x in p.orderBy(F.xxhash64("compound_id"), "compound_id").limit(100_000).select("property").collect()]
-    return stats.permutation_p(members(spark, d), "group_id", "property", np.array(some), draws=500)
+    return stats.permutation_p(members(spark, d), "group_id", "property", parts(spark, d), draws=config.INSIGHT["statistics"]["permutation_count"])
 
 
 @query(f"WITH {M} SELECT a.group_id, {R('median(abs(a.y - b.y))', 4)} AS median_pairwise_abs_delta FROM m a JOIN m b ON a.group_id = b.group_id AND a.compound_id < b.compound_id GROUP BY 1")

@@ -360,3 +360,24 @@ def test_sweep_and_grid(spark):
         clustering.swept(nodes, edges, [{"method": "hierarchical", "threshold": 0.9}], guard=3)
     one = clustering.components(nodes, edges.where("weight > 0.9"))
     assert {(r["cluster"], r["cluster_size"], r["edge_count"]) for r in clustering.cluster_summary(one, edges.where("weight > 0.9")).collect()} == {(0, 2, 1), (2, 2, 1), (4, 1, 0)}
+
+
+def test_permutation_draws_from_all_values(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    places = stats.median_places(4, 7, 35_000, np.random.default_rng(1))
+    got, want = Counter(zip(*places.tolist(), strict=True)), Counter(c[1:3] for c in combinations(range(1, 8), 4))
+    assert set(got) == set(want) and all(abs(got[x] - 1000 * want[x]) < 6 * (1000 * want[x]) ** 0.5 for x in want)
+    # most of 150000 values, shifted: a sample of 100000 would give every such group the least p-value
+    everything = spark.range(150_000).selectExpr("id AS k", "cast(id div 3 AS double) AS v")
+    groups = everything.where("k >= 45000").selectExpr("'top' AS g", "v").union(everything.where("k % 10 < 7 AND k > 60").selectExpr("'alike'", "v")).union(spark.range(3).selectExpr("'none'", "cast(null AS double)"))
+    p = {r["g"]: r["permutation_pvalue"] for r in stats.permutation_p(groups, "g", "v", everything).collect()}
+    assert p["top"] == 1 / 2001 and p["alike"] > 0.05 and p["none"] is None
+
+
+def test_permutation_query_draws_as_configured(spark):
+    from groveline import queries
+
+    got = [r["permutation_pvalue"] for r in queries.q_permutation(spark, "/root/testdata/sf0.001").collect()]
+    assert got and all(abs(p * 2001 - round(p * 2001)) < 1e-6 and 0 < p <= 1 for p in got)
