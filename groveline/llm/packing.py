@@ -1,8 +1,9 @@
-"""Packing into optimal length buckets.
+"""Packing into length buckets, optimal up to the bins of the histogram.
 
 Dynamic programming over the corpus's histogram of lengths sets the bucket boundaries at which padding is least; inside a bucket
 each batch takes as many documents as the token budget holds at the bucket's length. Lengths up to ``exact`` are told apart; above
-it a bin spans 1/64 of its octave, so that the histogram, and what the driver holds, is bounded for any corpus.
+it a bin spans 1/64 of its octave, so that the histogram, and what the driver holds, is bounded for any corpus. Boundaries are
+optimal for these bins: above ``exact`` tokens with padding are at most 1/64 more than the least possible.
 
 Defined results: a null or wordless text has length 0 and is packed with the shortest; a document longer than the budget has a
 batch of its own; repeated rows are packed as rows of their own; an empty table gives an empty result; other columns are not read.
