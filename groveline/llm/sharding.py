@@ -103,5 +103,5 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     where = F.lit(0)
     for b in begins:
         where = where + (F.col("key") >= F.lit(b)).cast("int")
-    out = numbered(slim.withColumn("shard", where), "shard", ["doc_id", "key"], rows)
+    out = numbered(slim.withColumn("shard", where), "shard", rows)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
