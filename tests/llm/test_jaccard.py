@@ -48,10 +48,11 @@ def variants(seed):
     return rows
 
 
-@pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
-def test_join(spark, words, percent):
+@pytest.mark.parametrize(("words", "percent", "bits"), [(4, 85, 64), (5, 80, 64), (4, 85, 5)])
+def test_join(spark, words, percent, bits):
+    """With names of 5 bits, most sets have a name in common with others."""
     rows = variants(words)
-    got = jaccard.join(documents(spark, rows), jaccard.Scheme(words=words, percent=percent))
+    got = jaccard.join(documents(spark, rows), jaccard.Scheme(words=words, percent=percent, node_bits=bits))
     want = by_pairs(rows, words, percent)
     assert sorted(map(tuple, got.collect())) == want
     assert len({r[2] for r in want}) < len(want) - 20
@@ -67,9 +68,15 @@ def test_every_near_pair_shares_a_signature(n2, k2):
         b = np.concatenate([a[int(rng.integers(0, size // 8 + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, size // 10 + 1)), np.uint64)])
         a, b = np.unique(a), np.unique(b)
         common = len(np.intersect1d(a, b))
-        row, sig = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), scheme)
+        row, sig, room = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), scheme)
         if 100 * common >= 85 * (len(a) + len(b) - common) and (len(a) != common or len(b) != common):
-            assert set(sig[row == 0]) & set(sig[row == 1])
+            both = set(sig[row == 0]) & set(sig[row == 1])
+            assert both
+            for r, band in {(r, b) for r, b in zip(row[room >= 0], room[room >= 0] >> 16, strict=True)}:
+                # leaving as many signatures as there is room for, the shared ones first, another shared one is left
+                own = (row == r) & (room >= 0) & (room >> 16 == band)
+                if (other := set(sig[(row != r) & (room >= 0) & (room >> 16 == band)])) and 100 * common >= 85 * (len(a) + len(b) - common):
+                    assert len(set(sig[own]) & other) > int(room[own][0] & 0xFFFF)
 
 
 def test_bitmaps_bound_the_difference():
@@ -79,14 +86,19 @@ def test_bitmaps_bound_the_difference():
         a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
         b = np.unique(np.concatenate([a[int(rng.integers(0, len(a) + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(1, 200)), np.uint64)]))
         maps = jaccard.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-        x, y = jaccard._folded(maps)
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        s = jaccard.Sketches(np.array([4, 9]), np.array([len(a), len(b)]), maps)
+        one, two = s.of(np.array([4])), s.of(np.array([9]))
+        _, _, apart = s.near(one, two, 0)
+        assert (apart <= len(np.setxor1d(a, b))).all()
+        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            assert len(s.near(one, two, 80)[0]) == 1
 
 
 def test_join_by_blocks(spark, monkeypatch):
     """Chains and rings inside one bucket, which the check against the centre leaves apart, with buckets of many blocks."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "TASK", 8)
+    monkeypatch.setattr(jaccard, "CROWD", 5)
     rng = random.Random(77)
     base = [f"b{i}" for i in range(140)]
     rows = []
