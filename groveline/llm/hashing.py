@@ -18,16 +18,20 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F & ~7 | 5)
 
 
-@lru_cache(maxsize=4)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = BASES[which]
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.ones(size, np.uint64)
-        p[1:] = np.uint64(b)
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """Powers of a base and of its inverse, ``size`` or more of them; the longest that were asked for are kept."""
+    if which not in _POWERS or len(_POWERS[which][0]) < size:
+        base = BASES[which]
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.ones(size, np.uint64)
+            p[1:] = np.uint64(b)
+            out.append(np.multiply.accumulate(p))
+        _POWERS[which] = out[0], out[1]
+    return _POWERS[which]
 
 
 @lru_cache(maxsize=4)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groveline.llm import repeats
+from groveline.llm import hashing, repeats
 
 GRAM = 8
 
@@ -31,26 +31,26 @@ def twice(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def doubled(s: repeats.Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stretch, first token, 1) of each window that another stretch, or this one, has too."""
+def doubled(s: repeats.Stretches) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, first token) of each window that another stretch, or this one, has too."""
     starts = s.length - s.window + 1
     row = np.repeat(np.arange(len(starts)), starts)
     start = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
-    part, length = s.anchor[row], s.gram
+    part, length, prefix = s.anchor[row], s.gram, hashing.Prefix(s.values)
     while len(row):
         length = min(2 * length, s.window)
         part = np.minimum(part, start + s.window - length)
         at = s.offsets[row] + part
-        kept = twice(s.prefix.of(at, at + length), part - start, s.key[row])
+        kept = twice(prefix.of(at, at + length), part - start, s.key[row])
         row, start, part = row[kept], start[kept], part[kept]
         if length == s.window:
             break
-    return row, start, np.ones(len(row), np.int64)
+    return row, start
 
 
-def dedup(docs: DataFrame, window: int = 35, **limits) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 35, bits: int = 64, **limits) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for each document."""
-    rows = repeats.keyed(docs)
+    rows = repeats.keyed(docs, bits)
     found = repeats.find_repeats(rows, "word", window, GRAM, doubled, **limits)
     out = repeats.removed(rows, found, "word", window)
     return out.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", "kept_sha256")

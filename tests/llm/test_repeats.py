@@ -41,12 +41,12 @@ def by_bytes(rows, window):
         yield i, len(b), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("limits", [{}, {"most_kinds": 2}, {"per_task": 5}])
+@pytest.mark.parametrize("limits", [{}, {"most_kinds": 1, "bits": 4}, {"most_kinds": 2}, {"per_task": 5}])
 def test_words(rows, docs, limits):
     assert sorted(map(tuple, substrings.dedup(docs, **limits).collect())) == sorted(by_words(rows, 35))
 
 
-@pytest.mark.parametrize("limits", [{}, {"most_kinds": 2}, {"per_task": 5}])
+@pytest.mark.parametrize("limits", [{}, {"most_kinds": 1, "bits": 4}, {"most_kinds": 2}, {"per_task": 5}])
 def test_bytes(rows, docs, limits):
     assert sorted(map(tuple, suffixes.dedup(docs, **limits).collect())) == sorted(by_bytes(rows, 200))
 
@@ -82,6 +82,14 @@ def test_empty_and_kept_texts(rows, docs):
             assert hashlib.sha256(t.encode()).hexdigest() == want[i]
 
 
+def test_clashing_names(spark, rows, docs):
+    """Columns named like those that the operator uses go through."""
+    named = docs.withColumnsRenamed({"size": "rid", "key": "kept", "shard": "row", "words": "_rid"})
+    out = suffixes.deduped(named)
+    assert out.columns == named.columns and out.count() == len(rows)
+    assert {r["rid"] for r in out.collect()} == {7}
+
+
 def test_words_of_batches():
     texts = [None, "", " a\tB\x0bcé ", "Ab", "b\n", "x" * 3000]
     t = hashing.Texts(pa.array(["skip", *texts])[1:])
