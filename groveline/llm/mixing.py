@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groveline.llm.common import SPACE, n_words, written
+from groveline.llm.common import SPACE, n_words, spread, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 #: A source is spread over so many shards that each of its streams has this many blocks.
 STREAM_BLOCKS = 64
+#: Sources whose rows are broadcast, some 10 MB; of more, they are joined by shuffles.
+MOST_SENT = 100_000
 
 
 def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int]) -> list[int]:
@@ -65,16 +67,18 @@ def targets(sizes: Sequence[int], weights: Sequence[int] = WEIGHTS, max_repeat:
         fixed |= above
 
 
-def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 17, shard_tokens: int = 8_000_000) -> tuple[DataFrame, DataFrame, int]:
+def plan(rows: DataFrame, name: list[str], weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 17, shard_tokens: int = 8_000_000) -> tuple[DataFrame, DataFrame, int]:
     """(documents placed in their shard's stream of words, what each stream gives, block length in words).
 
-    A stream is one source in one shard. Shards grow in number with the corpus, so that a stream stays near ``shard_tokens`` words
-    at most and a hot source is spread over all of them; a small source has fewer, down to one. The driver holds one row for each
-    source.
+    rows: columns that name a document, its source and size; equal rows become one with their number in ``copies``, which
+    stand one after another in the stream. A stream is one source in one shard. Shards grow in number with the corpus, so that a
+    stream stays near ``shard_tokens`` words at most and a hot source is spread over all of them; a small source has fewer, down to
+    one. The driver holds one row for each source, some 100 bytes.
     """
-    spark = docs.sparkSession
-    slim = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    found = {r["source"]: int(r["size"]) for r in slim.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    spark = rows.sparkSession
+    slim = written(rows.groupBy(*name, "source", "size").agg(F.count(F.lit(1)).alias("copies")))
+    words = F.col("size") * F.col("copies")
+    found = {r["source"]: int(r["size"]) for r in slim.groupBy("source").agg(F.sum(words).alias("size")).collect()}
     names = sorted((s for s in found if s is not None)) + [None] * (None in found)
     sizes = [found[s] for s in names]
     total, wanted = sum(sizes), targets(sizes, weights, max_repeat) if sizes else []
@@ -85,11 +89,12 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MA
     shards = [max(1, min(most, s // (STREAM_BLOCKS * block))) for s in sizes]
     schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("quota", T.LongType()), T.StructField("due", T.LongType()), T.StructField("shards", T.IntegerType())])
     by_source = spark.createDataFrame([*zip(names, sizes, wanted, quota, due, shards, strict=True)], schema)
+    sent = F.broadcast if len(names) <= MOST_SENT else (lambda df: df)
 
-    placed = slim.join(F.broadcast(by_source.select("_source", "shards")), F.col("source").eqNullSafe(F.col("_source")), "left")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int")).drop("_source", "shards")
-    streams = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    streams = streams.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "shards")
+    placed = slim.join(sent(by_source.select("_source", "shards")), F.col("source").eqNullSafe(F.col("_source")), "left")
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), *name), F.col("shards")).cast("int")).drop("_source", "shards")
+    streams = placed.groupBy("source", "shard").agg(F.sum(words).alias("words"))
+    streams = streams.join(sent(by_source), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "shards")
     # a source's blocks to its shards: the rounded share, then the highest quotients more or the lowest less
     ideal = F.col("quota") * F.col("words") / F.col("source_size")
     cap = F.floor(F.lit(max_repeat) * F.col("words") / block)
@@ -113,9 +118,9 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MA
     streams = streams.withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
     # i -> (step * i + shift) mod blocks is a permutation if step and blocks have no common factor: a prime above them that doesn't divide them
     streams = streams.withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.col("blocks"), F.lit(1))))
-    start = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
-    placed = placed.withColumn("end", F.sum("size").over(start.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.select("doc_id", "source", "size", "shard", (F.col("end") - F.col("size")).alias("start"))
+    start = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), *name), *name, "size")
+    placed = placed.withColumn("end", F.sum(words).over(start.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.select(*name, "source", "size", "copies", "shard", (F.col("end") - words).alias("start"))
     return placed, streams, block
 
 
@@ -139,8 +144,10 @@ def picked(block_no, block: int):
 
 
 def joined(placed: DataFrame, streams: DataFrame) -> DataFrame:
+    """A row for each document, copies too, with what its stream gives."""
+    each = spread(placed, "copies", "nth").withColumn("start", F.col("start") + F.col("nth") * F.col("size"))
     right = streams.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "source_size", "target", "words", "whole", "rest", "blocks", "shift")
-    return placed.join(right, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")), "left").drop("_s", "_h")
+    return each.join(right, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")), "left").drop("_s", "_h")
 
 
 def runs(block: int):
@@ -154,20 +161,28 @@ def runs(block: int):
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """doc_id, size, source_size, target, taken for each document; see the module for the method."""
-    placed, streams, block = plan(docs, **params)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "source", n_words(F.col("text")).alias("size"))
+    placed, streams, block = plan(rows, ["doc_id", "mark"], **params)
     part = F.aggregate(runs(block), F.lit(0).cast("long"), lambda a, r: a + r["to"] - r["from"])
     return joined(placed, streams).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole pass over a document's text, and one of the words that
-    the picked blocks cover, joined by one space (the text itself if they cover it all). Rows with nothing taken are left out."""
-    keyed = written(docs.withColumn("_row", F.struct(F.xxhash64(*docs.columns), F.monotonically_increasing_id())))
-    placed, streams, block = plan(keyed.withColumn("doc_id", F.to_json("_row")), **params)
-    cut = joined(placed, streams).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), runs(block).alias("_runs"))
-    cut = cut.withColumn("_part", F.aggregate("_runs", F.lit(0).cast("long"), lambda a, r: a + r["to"] - r["from"])).where("_size > 0 AND (_whole > 0 OR _part > 0)")
-    rows = keyed.withColumn("_id", F.to_json("_row")).join(cut, "_id")
-    some = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(F.filter(F.split(F.col("text"), SPACE), lambda w: w != ""), (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
-    passes = F.when(F.col("_whole") > 0, F.array_repeat("text", F.col("_whole").cast("int"))).otherwise(F.array().cast("array<string>"))
-    last = F.when(F.col("_part") == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("_part") == F.col("_size"), F.col("text")).otherwise(some)))
-    return rows.withColumn("text", F.explode(F.concat(passes, last))).select(*docs.columns)
+    the picked blocks cover, joined by one space (the text itself if they cover it all). Rows with nothing taken are left out.
+
+    Documents are known by 128 bits of hash of all their columns, so that the mix follows from what they hold, however they are
+    partitioned; the columns must be of kinds that can be hashed (no maps).
+    """
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*every).alias("row"), F.xxhash64(*every).alias("h1"), F.xxhash64(F.lit(1), *every).alias("h2"), "source", n_words(F.col("text")).alias("size"))
+    placed, streams, block = plan(keyed.select("h1", "h2", "source", "size"), ["h1", "h2"], **params)
+    cut = joined(placed, streams).select("h1", "h2", "size", "whole", runs(block).alias("runs"))
+    cut = cut.withColumn("part", F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["to"] - r["from"])).where("size > 0 AND (whole > 0 OR part > 0)")
+    one = keyed.select("h1", "h2", "row").groupBy("h1", "h2").agg(F.first("row").alias("row"))  # equal documents: the plan says how often each is taken
+    rows = one.withColumn("text", F.col("row").getField("text")).join(cut.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), "size", "whole", "part", "runs"), (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")))
+    some = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.filter(F.split(F.col("text"), SPACE), lambda w: w != ""), (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
+    passes = F.when(F.col("whole") > 0, F.array_repeat("text", F.col("whole").cast("int"))).otherwise(F.array().cast("array<string>"))
+    last = F.when(F.col("part") == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(some)))
+    out = rows.select("row", F.explode(F.concat(passes, last)).alias("text"))
+    return out.select(*[(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
