@@ -11,12 +11,13 @@ columns other than doc_id, text and lang are not read, and lang only to learn.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groveline.llm.hashing import Texts
@@ -26,12 +27,17 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Shape:
-    """Size of the network and bounds of its training: at most ``rows`` sampled rows, ``windows`` windows of ``window`` bytes of each."""
+    """Size of the network and bounds of its training.
+
+    The training sample holds whole texts of at most ``rows`` different labelled rows and, but for the last text of each language,
+    ``sample_bytes`` in all; each language has an equal part of both. Each of ``steps`` steps learns from ``batch`` windows of
+    ``window`` bytes, drawn from everywhere in these texts.
+    """
 
     hidden: int = 12
     stretch: int = 192
     rows: int = 3000
-    windows: int = 3
+    sample_bytes: int = 48 << 20
     window: int = 96
     batch: int = 192
     steps: int = 260
@@ -133,16 +139,26 @@ def loss_and_gradient(w: dict[str, np.ndarray], data: np.ndarray, label: np.ndar
     return loss, grad
 
 
-def train(windows: list[bytes], label: np.ndarray, classes: int, shape: Shape) -> dict[str, np.ndarray]:
-    """Adam over balanced classes; a shorter window is repeated up to the window's length."""
-    data = np.stack([np.frombuffer((x * (shape.window // len(x) + 1))[: shape.window], np.uint8) for x in windows], 1)
-    share = np.bincount(label, minlength=classes)
-    weight = (1 / share[label]).astype(np.float32)
+def train(texts: list[bytes], label: np.ndarray, classes: int, shape: Shape) -> dict[str, np.ndarray]:
+    """Adam over windows of the texts, every class drawn as often, every byte of a class's texts too; a shorter text is repeated up to the window's length."""
+    texts = [x * (shape.window // len(x) + 1) if len(x) < shape.window else x for x in texts]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(x) for x in texts])
+    begin = np.cumsum(size) - size
+    starts = size - shape.window + 1
+    own = [np.flatnonzero(label == c) for c in range(classes)]
+    reach = [np.cumsum(starts[i]) for i in own]
     w, rng = start(shape, classes), np.random.default_rng(shape.seed + 1)
     m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
     for i in range(1, shape.steps + 1):
-        pick = rng.integers(0, len(windows), min(shape.batch, len(windows)))
-        _, grad = loss_and_gradient(w, data[:, pick], label[pick], weight[pick])
+        drawn = rng.integers(0, classes, shape.batch)
+        at = np.empty(shape.batch, np.int64)
+        for c in range(classes):
+            here = np.flatnonzero(drawn == c)
+            place = rng.integers(0, reach[c][-1], len(here))
+            text = np.searchsorted(reach[c], place, "right")
+            at[here] = begin[own[c][text]] + place - (reach[c][text] - starts[own[c][text]])
+        _, grad = loss_and_gradient(w, data[at + np.arange(shape.window)[:, None]], drawn, np.ones(shape.batch, np.float32))
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         rate = shape.rate * min(1.0, 2 * (1 - i / (shape.steps + 1)))
         for k, g in grad.items():
@@ -185,10 +201,13 @@ def probabilities(w: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarra
     row = np.repeat(np.arange(len(size)), pieces)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = offsets[row] + nth * shape.stretch
-    length = np.minimum(shape.stretch, offsets[row + 1] - begin)
+    for _ in range(3):  # a stretch starts where a character does
+        inside = (nth > 0) & (data[begin] & 0xC0 == 0x80) if len(begin) else nth > 0
+        begin = begin - inside
+    length = np.append(begin[1:], offsets[-1]) - begin
     sums = np.zeros((len(size), len(w["o"])))
     by_length = np.argsort(length, kind="stable")
-    padded = np.concatenate([data, np.zeros(shape.stretch, np.uint8)])
+    padded = np.concatenate([data, np.zeros(shape.stretch + 3, np.uint8)])
     for i in range(0, len(row), width):
         some = by_length[i : i + width]
         steps = int(length[some].max())
@@ -203,19 +222,40 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, shape: Shape) -> list[tuple[str, bytes]]:
-    """(language, window) of the sampled rows: those with the least hash of their id, whatever the partitions.
+    """(language, text) of the sampled rows: of each language those with the least hash of id, text and language, whatever the partitions.
 
-    Only labelled rows under a hash bound that lets through some four times ``shape.rows`` of them are looked at, so that what tasks send to
-    the driver doesn't grow with their number.
+    Equal rows count once. Each language has the same number of rows and bytes, so that a rare one is learned from all its rows. A
+    first look takes rows under a hash bound that should let through twice as many as are needed; a language of which it
+    shows too few, as where most of its rows are equal, is looked at again without a bound.
     """
-    labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    few = min(1.0, 4 * shape.rows / max(1, labelled.count()))
-    place = F.pmod(F.xxhash64(F.lit(shape.seed), "doc_id"), F.lit(1 << 40))
-    learn = labelled.where((place <= int(few * (1 << 40))) & (F.length("text") > 0))
-    most = F.greatest(F.lit(1), F.length("text") - shape.window + 1)
-    cuts = [F.substring("text", (F.pmod(F.xxhash64(F.lit(i), "doc_id"), most) + 1).cast("int"), F.lit(shape.window)) for i in range(shape.windows)]
-    least = learn.select(place.alias("h"), "doc_id", "lang", F.array(*cuts).alias("cuts")).orderBy("h", "doc_id", "lang").limit(shape.rows)
-    return [(r["lang"], c.encode()[: shape.window]) for r in least.collect() for c in r["cuts"]]
+    labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    count = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not count:
+        return []
+    quota, most = -(-shape.rows // len(count)), shape.sample_bytes // len(count)
+    mark = F.xxhash64(F.lit(shape.seed), "doc_id", "text", "lang")
+    rows = labelled.select("lang", mark.alias("mark"), F.shiftrightunsigned(mark, 24).alias("place"), "text", F.octet_length("text").cast("long").alias("size"))
+
+    def least(languages: dict[str, int]) -> list:
+        """Of each language the rows up to its quota of those whose place is at most its bound."""
+        bound = F.lit(-1)
+        for lang, most_place in languages.items():
+            bound = F.when(F.col("lang") == lang, F.lit(most_place)).otherwise(bound)
+        once = rows.where(F.col("place") <= bound).groupBy("lang", "place", "mark").agg(F.first("size").alias("size"))
+        order = Window.partitionBy("lang").orderBy("place", "mark")
+        ranked = once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= quota)
+        taken = ranked.withColumn("before", F.sum("size").over(order) - F.col("size")).where(F.col("before") < most).select(F.col("lang").alias("_l"), F.col("mark").alias("_m"))
+        found = rows.where(F.col("place") <= bound).join(F.broadcast(taken), (F.col("lang") == F.col("_l")) & (F.col("mark") == F.col("_m")))
+        return found.groupBy("lang", "mark").agg(F.first("text").alias("text")).orderBy("lang", "mark").collect()
+
+    every = 1 << 40
+    bounds = {lang: min(every, 2 * every * quota // n) for lang, n in count.items()}
+    out = least(bounds)
+    had = Counter(r["lang"] for r in out)
+    few = {lang: every for lang in count if bounds[lang] < every and had[lang] < quota and sum(len(r["text"].encode()) for r in out if r["lang"] == lang) < most}
+    if few:
+        out = [r for r in out if r["lang"] not in few] + least(few)
+    return [(r["lang"], r["text"].encode()) for r in out]
 
 
 def identify(docs: DataFrame, shape: Shape = Shape(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -11,7 +11,7 @@ from groveline.llm.queries import read
 from tests.llm.helpers import documents
 
 DATA = "/root/testdata/sf0.01"
-SMALL = langid.Shape(hidden=8, rows=600, windows=2, window=64, batch=96, steps=90)
+SMALL = langid.Shape(hidden=8, rows=600, window=64, batch=96, steps=90)
 
 
 def test_gradient_by_differences():
@@ -34,13 +34,14 @@ def test_gradient_by_differences():
 def test_stretches_are_read_one_by_one():
     shape = langid.Shape(hidden=4, stretch=7)
     w = langid.start(shape, 3)
-    texts = [b"abc", b"", b"hello world, a longer text", b"1234567", b"12345678"]
+    texts = ["1234é6789ab".encode(), b"abc", b"", b"hello world, a longer text", b"1234567", b"12345678"]
     data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     got = langid.probabilities(w, data, at, shape, width=3)
     for i, t in enumerate(texts):
         total = np.zeros(3)
-        for k in range(0, len(t), 7):
-            part = np.frombuffer(t[k : k + 7], np.uint8)
+        ends = [k - (k < len(t) and t[k] & 0xC0 == 0x80) for k in range(0, len(t), 7)] + [len(t)]
+        for k, end in zip(ends[:-1], ends[1:], strict=True):
+            part = np.frombuffer(t[k:end], np.uint8)
             total += langid.position_sums(w, part[:, None], np.array([len(part)]))[0]
         assert np.allclose(got[i], total / max(1, len(t)), atol=1e-5)
 
@@ -69,6 +70,20 @@ def test_languages_edges(spark):
     assert kept.columns == docs.columns and {1, 2, 3}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_sample_of_rows_with_few_ids_and_of_rare_languages(spark):
+    """Whole texts, each different row once, languages alike, whatever the ids and partitions."""
+    shape = langid.Shape(rows=20, sample_bytes=4000)
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(learned[i % 3], f"text number {i} " * (1 + i % 5), "en", "s") for i in range(300)] + [(learned[4], "the same", "de", "s")] * 900 + [(learned[5], f"selten {i}", "de", "s") for i in range(4)]
+    rows += [(learned[6], "x" * 9000, "fr", "s"), (learned[7], "y" * 9000, "fr", "s"), (learned[8], "", "it", "s"), (learned[9], None, "it", "s")]
+    docs = documents(spark, rows)
+    got = langid.sample(docs, shape)
+    assert sorted(got) == sorted(langid.sample(docs.repartition(9), shape))
+    assert {(lang, text.decode()) for lang, text in got} <= {(r[2], r[1]) for r in rows}
+    per = {lang: [t for x, t in got if x == lang] for lang in ("en", "de", "fr", "it")}
+    assert len(per["en"]) == 7 and sorted(per["de"]) == sorted([b"the same", *(b"selten %d" % i for i in range(4))]) and len(per["fr"]) == 1 and not per["it"]
+
+
 def longest(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -172,13 +187,11 @@ def test_pages_meet_the_same_neighbours_in_cells_of_any_size(spark):
 
 
 def by_product(rows, k=5, every=50):
-    x = {}
-    for i, v in sorted((r for r in rows if r[0] is not None and r[1] is not None and all(c is not None and np.isfinite(c) for c in r[1])), key=lambda r: r[0]):
-        x.setdefault(i, [int(np.floor(256 * float(np.float32(c)))) for c in v])
-    for q in sorted(x):
+    x = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    for n, (q, u) in enumerate(x):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(x[q], v, strict=False)), i) for i, v in x.items() if i != q)
-            yield from ((q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k]))
+            scores = sorted((-sum(a * b for a, b in zip(u, v, strict=False)), i) for m, (i, v) in enumerate(x) if m != n)
+            yield from ((q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k]))
 
 
 @pytest.mark.parametrize("rows", [1 << 16, 37])
@@ -196,7 +209,21 @@ def test_top_k_small(spark):
     assert bitsliced.search(spark.createDataFrame([], schema)).collect() == []
     assert bitsliced.search(spark.createDataFrame([(50, [1.0])], schema)).collect() == []
     got = bitsliced.search(spark.createDataFrame([(50, [1.0]), (50, [1.0]), (3, [1.0]), (2, [1.0])], schema)).collect()
-    assert sorted(map(tuple, got)) == [(50, 1, 2, 65536), (50, 2, 3, 65536)]
+    assert sorted(map(tuple, got)) == [(50, 1, 2, 65536)] * 2 + [(50, 2, 3, 65536)] * 2 + [(50, 3, 50, 65536)] * 2
+
+
+def test_top_k_of_rows_with_one_id(spark, monkeypatch):
+    """Rows of one id with other vectors, very many equal rows, as queries too, and components of any size."""
+    schema = "vec_id long, embedding array<float>"
+    rows = [(50, [1.0]), (50, [0.5]), (3, [1.0]), (3, [9.0]), *[(7, [2.0])] * 40, *[(100, [-1.0])] * 9]
+    got = sorted(map(tuple, bitsliced.search(spark.createDataFrame(rows, schema)).collect()))
+    assert got == sorted(by_product(rows))
+    rows = [(50, [3e9, -1.0]), (1, [2e9, 5.0]), (2, [-3e9, 0.25]), (100, [1e-3, 7.0]), (4, [1e6, 1e6])]
+    got = sorted(map(tuple, bitsliced.search(spark.createDataFrame(rows, schema)).collect()))
+    limit = (1 << 63) - 1
+    assert got == sorted((q, r, i, max(-limit - 1, min(limit, s))) for q, r, i, s in by_product(rows))
+    wide = [(50, [3e38]), (1, [2.0]), (2, [-2.0])]
+    assert [r["vec_id"] for r in sorted(bitsliced.search(spark.createDataFrame(wide, schema)).collect(), key=lambda r: r["rank"])] == [1, 2]
 
 
 def test_top_k_of_the_tables(spark):

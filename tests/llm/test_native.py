@@ -241,6 +241,18 @@ def test_mixed_texts_follow_the_plan(rows, docs):
     assert sum(total.values()) == pytest.approx(sum(plan.values()), rel=0.05)
 
 
+def test_mixed_follows_from_content_alone(spark, rows):
+    """Copies of rows among the documents, columns named like the operator's, and other partitions each time."""
+    docs = documents(spark, [*rows, *rows[:9], *rows[:9], *([rows[4]] * 30)]).withColumnsRenamed({"size": "row", "key": "h1", "shard": "copies", "words": "runs"})
+    got = [sorted(map(str, mixing.mixed(d).collect())) for d in (docs, docs.repartition(7), docs.orderBy("text"))]
+    assert got[0] == got[1] == got[2] and mixing.mixed(docs).columns == docs.columns
+    plan = mixing.mix(docs).groupBy("doc_id").agg({"taken": "sum"}).collect()
+    taken = Counter()
+    for r in mixing.mixed(docs).collect():
+        taken[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert sum(r["sum(taken)"] for r in plan) == pytest.approx(sum(taken.values()), rel=0.05)
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     for f in (sharding.shard, quality.judge, packing.pack, mixing.mix, mixing.mixed):

@@ -50,4 +50,4 @@ def test_run(spark, tmp_path, monkeypatch):
     assert pipeline.run(spark, str(tmp_path)).count() > 20
 
 
-SMALL = langid.Shape(hidden=6, rows=200, windows=2, window=48, batch=48, steps=40)
+SMALL = langid.Shape(hidden=6, rows=200, window=48, batch=48, steps=40)
