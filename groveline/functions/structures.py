@@ -20,6 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groveline.operators.validate import structure_tier
+from groveline.storage import written
+
 
 class MissingBackend(RuntimeError):
     """A set needs a package that isn't installed."""
@@ -42,19 +45,28 @@ class Backend(Protocol):
     def vector(self, structure: str, set_id: str, params: dict[str, Any]) -> Sequence[float]: ...
 
 
-_BACKENDS: dict[str, Callable[[], Backend]] = {}
+#: What makes a backend, by name: "module:attribute", which each worker imports, or a callable, which is sent to the workers.
+_BACKENDS: dict[str, str | Callable[[], Backend]] = {}
 
 
-def register_backend(name: str, make: Callable[[], Backend]) -> None:
+def register_backend(name: str, make: str | Callable[[], Backend]) -> None:
     _BACKENDS[name] = make
 
 
-def backend(what: str) -> Backend:
+def maker(what: str) -> str | Callable[[], Backend]:
+    """What makes the backend. Kernels close over it, since a worker doesn't know what the driver has registered."""
     for make in _BACKENDS.values():
-        return make()
+        return make
     raise MissingBackend(what, "rdkit (with a registered backend)")
 
 
+def made(make: str | Callable[[], Backend]) -> Backend:
+    if isinstance(make, str):
+        module, _, name = make.partition(":")
+        make = getattr(importlib.import_module(module), name)
+    return make()
+
+
 @dataclass(frozen=True)
 class DescriptorSet:
     set_id: str
@@ -110,21 +122,21 @@ SETS = _sets()
 #: A category that is planned only: label-trained vectors, kept apart from pretrained ones.
 PLANNED_CATEGORIES = ("supervised_task_embedding",)
 
-#: Feature families out of scope: what they are, how far an open package covers them, what they would need.
+# Feature families out of scope, as the table of them has it.
 COVERAGE = (
-    ("advanced 3D-QSAR field", "partial or limited", "aligned 3D conformers"),
-    ("pharmacophore descriptor", "partial", "3D conformers"),
-    ("pKa, logD and protomers", "weak", "structure strings or files"),
-    ("conformational analysis", "partial", "3D conformers"),
-    ("alignment-based descriptor", "limited", "aligned 3D conformers"),
-    ("electrostatic field", "limited", "3D conformers"),
-    ("receptor-independent pharmacophore", "partial", "3D conformers"),
-    ("ligand interaction field", "limited", "3D conformers"),
+    ("Advanced 3D-QSAR field", "CoMFA/CoMSIA-like fields, interaction fields", "Partial/limited", "Use MOE 3D-QSAR and field descriptor functions", "aligned 3D conformers"),
+    ("Pharmacophore descriptor", "pharmacophore hypotheses, feature distances", "Partial", "Use MOE pharmacophore functions", "3D conformers"),
+    ("pKa/logD/protomer", "predicted pKa, logD, protomer state", "Weak", "Use MOE or another ionization-state predictor", "SMILES/SDF"),
+    ("Conformational analysis", "conformer ensemble energy, strain", "Partial", "Use MOE conformational search", "3D conformers"),
+    ("Alignment-based descriptor", "alignment-dependent shape/field", "Limited", "Use MOE alignment/QSAR workflow", "aligned 3D conformers"),
+    ("Electrostatic field", "surface ESP, field values", "Limited", "Use MOE field descriptors", "3D conformers"),
+    ("Receptor-independent pharmacophore", "feature triplets, pharmacophore fingerprints", "Partial", "Use MOE pharmacophore fingerprints", "3D conformers"),
+    ("Ligand interaction field", "MIF-like descriptors", "Limited", "Use MOE field analysis", "3D conformers"),
 )
 
 
 def coverage_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COVERAGE, "feature_category string, support string, needed_input string")
+    return spark.createDataFrame(COVERAGE, "feature_category string, examples string, rdkit_support string, moe_supplementation_plan string, input string")
 
 
 def selected_sets(asked: Sequence[str] | None = None, enable_3d: bool = False) -> list[DescriptorSet]:
@@ -144,10 +156,10 @@ def selected_sets(asked: Sequence[str] | None = None, enable_3d: bool = False) -
 
 def parsed(df: DataFrame, column: str) -> DataFrame:
     """df with canonical_smiles, mol_parse_ok, mol_error. No salts are stripped, nothing is standardised."""
-    backend("reading structures")
+    make = maker("reading structures")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use = backend("reading structures")
+        use = made(make)
         for b in batches:
             found = [use.canonical(s) if isinstance(s, str) and s.strip() else None for s in b[column]]
             yield b.assign(canonical_smiles=found, mol_parse_ok=[f is not None for f in found], mol_error=[None if f is not None else "can't be read" for f in found])
@@ -158,10 +170,10 @@ def parsed(df: DataFrame, column: str) -> DataFrame:
 
 def described(df: DataFrame, s: DescriptorSet, key: str = "compound_id") -> DataFrame:
     """key, canonical_smiles, mol_parse_ok, descriptor_error, features. A row that fails has null features and its error; others go on."""
-    backend(f"{s.set_id} {s.name}")
+    make = maker(f"{s.set_id} {s.name}")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use = backend(s.set_id)
+        use = made(make)
         for b in batches:
             values, errors = [], []
             for text, ok in zip(b["canonical_smiles"], b["mol_parse_ok"], strict=True):
@@ -206,10 +218,16 @@ def embedded(df: DataFrame, model_dir: str, params: dict[str, Any] | None = None
 
 
 def by_command(df: DataFrame, command: Sequence[str], folder: str, model_dir: str = "", timeout: float | None = None) -> DataFrame:
-    """compound_id and numeric columns by an external command that reads and writes CSV. Runs on the driver, only where asked for."""
-    source, target = Path(folder) / "input.csv", Path(folder) / "output.csv"
-    df.select("compound_id", "canonical_smiles").toPandas().to_csv(source, index=False)
-    subprocess.run([c.format(input_csv=source, output_csv=target, model_dir=model_dir) for c in command], check=True, timeout=timeout)
+    """compound_id and numeric columns by an external command that reads and writes CSV, run on the driver, only where asked for.
+
+    Spark writes the input as parts in ``folder``, which must be one that the driver and the executors share as files; the command runs once for each part, and
+    Spark reads what it wrote. No table passes through the driver's memory.
+    """
+    source, target = Path(folder) / "input", Path(folder) / "output"
+    df.select("compound_id", "canonical_smiles").write.mode("overwrite").option("header", True).csv(str(source))
+    target.mkdir(parents=True, exist_ok=True)
+    for part in sorted(source.glob("part-*.csv")):
+        subprocess.run([c.format(input_csv=part, output_csv=target / part.name, model_dir=model_dir) for c in command], check=True, timeout=timeout)
     return df.sparkSession.read.option("header", True).csv(str(target))
 
 
@@ -217,10 +235,10 @@ def by_command(df: DataFrame, command: Sequence[str], folder: str, model_dir: st
 
 
 def scaffolds(df: DataFrame, key: str = "compound_id") -> DataFrame:
-    backend("scaffolds")
+    make = maker("scaffolds")
 
     def each(batches):
-        use = backend("scaffolds")
+        use = made(make)
         for b in batches:
             rows = [use.scaffold(s) for s in b["canonical_smiles"]]
             yield pd.DataFrame({key: b[key], **{n: [r[i] for r in rows] for i, n in enumerate(("scaffold_smiles", "generic_scaffold_smiles", "scaffold_atoms", "molecule_atoms"))}})
@@ -230,10 +248,10 @@ def scaffolds(df: DataFrame, key: str = "compound_id") -> DataFrame:
 
 def fragments(df: DataFrame, methods: Sequence[str] = ("brics", "recap"), key: str = "compound_id") -> DataFrame:
     """method, fragment, fragment_heavy_atoms, key: one row for each fragment of each structure."""
-    backend("fragments")
+    make = maker("fragments")
 
     def each(batches):
-        use = backend("fragments")
+        use = made(make)
         for b in batches:
             rows = [(m, f, n, i) for i, s in zip(b[key], b["canonical_smiles"], strict=True) for m in methods for f, n in use.fragments(s, m)]
             yield pd.DataFrame(rows, columns=["method", "fragment", "fragment_heavy_atoms", key])
@@ -243,10 +261,10 @@ def fragments(df: DataFrame, methods: Sequence[str] = ("brics", "recap"), key: s
 
 def mined_cores(pairs: DataFrame, timeout: float = 2.0) -> DataFrame:
     """core, heavy_atoms, id_a, id_b. pairs: id_a, smiles_a, id_b, smiles_b. Pairs that time out or have nothing in common are left out."""
-    backend("common cores")
+    make = maker("common cores")
 
     def each(batches):
-        use = backend("common cores")
+        use = made(make)
         for b in batches:
             rows = []
             for r in b.itertuples():
@@ -261,11 +279,11 @@ def mined_cores(pairs: DataFrame, timeout: float = 2.0) -> DataFrame:
 
 def expanded(cores: Sequence[str], df: DataFrame, key: str = "compound_id") -> DataFrame:
     """core, key: which structures contain which of a bounded list of selected cores."""
-    backend("substructures")
+    make = maker("substructures")
     cores = list(cores)
 
     def each(batches):
-        use = backend("substructures")
+        use = made(make)
         for b in batches:
             rows = [(c, i) for i, s in zip(b[key], b["canonical_smiles"], strict=True) for c in cores if use.matches(s, c)]
             yield pd.DataFrame(rows, columns=["core", key])
@@ -273,6 +291,26 @@ def expanded(cores: Sequence[str], df: DataFrame, key: str = "compound_id") -> D
     return df.select(key, "canonical_smiles").mapInPandas(each, f"core string, `{key}` {df.schema[key].dataType.simpleString()}")
 
 
+def split(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose structure can be read, with canonical_smiles; the others with exclusion_reason), of a written table."""
+    every = written(parsed(df, column))
+    reason = F.when(F.col(column).isNull() | (F.trim(column) == ""), "no structure").otherwise(F.col("mol_error"))
+    return every.where("mol_parse_ok"), every.where("NOT mol_parse_ok").withColumn("exclusion_reason", reason)
+
+
 def valid_ratio(df: DataFrame, column: str, rows: int = 1000) -> float:
     """Share of a bounded sample's values that parse."""
     return parsed(df.where(F.col(column).isNotNull()).select(column).limit(rows), column).agg(F.avg(F.col("mol_parse_ok").cast("int"))).first()[0] or 0.0
+
+
+def structure_column(df: DataFrame, named: Sequence[str], others: Sequence[str]) -> tuple[str | None, str | None, list[str]]:
+    """(column, tier, warnings): the one whose values parse best, known names first. Without a backend names alone decide."""
+    if not _BACKENDS:
+        return next(iter(named), None), None, []
+    for names in (named, others):
+        ratio = {c: valid_ratio(df, c) for c in names}
+        best = max(ratio, key=lambda c: ratio[c], default=None)
+        if best is not None and structure_tier(ratio[best]) != "low":
+            tier = structure_tier(ratio[best])
+            return best, tier, [f"structure column {best}: {ratio[best]:.2f} of its values can be read"] if tier == "medium" else []
+    return None, "low" if named else None, [f"no column's values can be read as structures: {', '.join(named)}"] if named else []

@@ -213,7 +213,9 @@ def redundancy(groups: DataFrame, pairs: DataFrame, rank: str, threshold: float
 
 
 def _component(df: DataFrame, column: str, ascending: bool) -> Column:
-    order = F.col(column).asc_nulls_last() if ascending else F.col(column).desc_nulls_last()
+    """Rank; values count to 9 decimals, so that what differs by rounding errors only is a tie."""
+    value = F.round(F.col(column).cast("double"), 9)
+    order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
     return F.rank().over(Window.partitionBy(F.lit(1)).orderBy(order)).cast("double")
 
 
@@ -262,7 +264,8 @@ def metric_ranking(groups: DataFrame) -> DataFrame:
     """metric_name, direction, group_id, metric_value, rank."""
     rows = F.array(*[F.struct(F.lit(m).alias("metric_name"), F.lit("lower_is_better" if low else "higher_is_better").alias("direction"), F.col(m).cast("double").alias("metric_value")) for m, low in LONG.items()])
     long = groups.select("group_id", F.inline(rows)).where("metric_value IS NOT NULL")
-    signed = F.when(F.col("direction") == "lower_is_better", F.col("metric_value")).otherwise(-F.col("metric_value"))
+    value = F.round("metric_value", 9)
+    signed = F.when(F.col("direction") == "lower_is_better", value).otherwise(-value)
     return long.withColumn("rank", F.rank().over(Window.partitionBy("metric_name").orderBy(signed)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from groveline import config
 from groveline.functions import stats
-from groveline.functions.structures import COVERAGE, coverage_table
+from groveline.functions.structures import coverage_table
 from groveline.operators import clustering, distances, features, groups, insight, landscape, neighbours, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -416,9 +416,13 @@ def q_mwu_u(spark, d):
     return rounded(insight.rank_sums(members(spark, d), parts(spark, d)).select("group_id", "n1", "n2", "u_statistic", "rank_biserial_effect"))
 
 
-@query()
+# erf by its series of positive terms, erf(x) = 2 / sqrt(pi) * exp(-x * x) * sum of 2**k * x**(2k + 1) / (1 * 3 * ... * (2k + 1))
+MWU = f"WITH {M}, tie AS (SELECT sum(t * t * t - t) AS ts FROM (SELECT count(*)::DOUBLE AS t FROM p GROUP BY y)), rk AS (SELECT compound_id, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS r, count(*) OVER () AS n FROM p), s AS (SELECT group_id, count(*)::DOUBLE AS n1, (any_value(n) - count(*))::DOUBLE AS n2, sum(r) - count(*) * (count(*) + 1) / 2.0 AS u FROM m JOIN rk USING (compound_id) GROUP BY 1), z AS (SELECT group_id, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ts / ((n1 + n2) * (n1 + n2 - 1)))) / sqrt(2) AS x FROM s, tie), er AS (SELECT group_id, any_value(x) AS x, sum(CASE WHEN x > 0 THEN exp(2 * k * ln(2) + (2 * k + 1) * ln(x) + lgamma(k + 1) - lgamma(2 * k + 2) - x * x) ELSE 0 END) AS e FROM z, range(0, 200) t(k) GROUP BY 1), pv AS (SELECT group_id, greatest(0.0, 1 - 2 / sqrt(pi()) * e) AS pv FROM er), o AS (SELECT *, row_number() OVER (ORDER BY pv, group_id) AS i, count(*) OVER () AS k FROM pv)"
+
+
+@query(MWU + f" SELECT group_id, {R('pv')} AS mannwhitney_pvalue, {R('least(1.0, min(pv * k / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING))')} AS mannwhitney_fdr_qvalue FROM o")
 def q_mwu_p(spark, d):
-    return insight.mann_whitney(insight.rank_sums(members(spark, d), parts(spark, d))).select("group_id", "mannwhitney_pvalue", "mannwhitney_fdr_qvalue")
+    return rounded(insight.mann_whitney(insight.rank_sums(members(spark, d), parts(spark, d))).select("group_id", "mannwhitney_pvalue", "mannwhitney_fdr_qvalue"))
 
 
 @query()
@@ -466,19 +470,36 @@ def analysed(spark, d) -> DataFrame:
     return insight.analysed(members(spark, d), parts(spark, d), suppliers(spark, d), bits(spark, d), config.INSIGHT)
 
 
-@query()
+# Everything about the groups that are neither too small nor nearly everything: an is a row for each of them
+FITTING = "p AS (SELECT p_partkey AS compound_id, p_retailprice AS y FROM part), m0 AS (SELECT DISTINCT l_suppkey AS group_id, l_partkey AS compound_id, y FROM lineitem JOIN p ON l_partkey = p.compound_id), m AS (SELECT * FROM m0 WHERE group_id IN (SELECT group_id FROM m0 GROUP BY 1 HAVING count(*) BETWEEN 5 AND 0.95 * (SELECT count(*) FROM p)))"
+ANALYSED = (
+    "WITH " + FISHER.replace(M, FITTING) + f", {PROFILE}, {BITS}"
+    ", o1 AS (SELECT group_id, pv, row_number() OVER (ORDER BY pv, group_id) AS i, count(*) OVER () AS k FROM fi), qv AS (SELECT group_id, least(1.0, min(pv * k / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM o1)"
+    ", pd AS (SELECT a.group_id, median(abs(a.y - b.y)) AS pm FROM m a JOIN m b ON a.group_id = b.group_id AND a.compound_id < b.compound_id GROUP BY 1)"
+    f", ts AS (SELECT m1.group_id, {TANIMOTO} AS s FROM m m1 JOIN m m2 ON m1.group_id = m2.group_id AND m1.compound_id < m2.compound_id JOIN b a ON a.compound_id = m1.compound_id JOIN b c ON c.compound_id = m2.compound_id), dv AS (SELECT group_id, 1 - avg(s) AS sd FROM ts GROUP BY 1)"
+    ", g AS (SELECT t.group_id, t.n AS group_size, gh / t.n - ah / c.n AS hd, gd - c.med AS sh, q, pr.var, pr.q75 - pr.q25 AS iqr, pr.med, pm, dv.sd, CASE t.group_id % 3 WHEN 1 THEN 2 ELSE 1 END AS tier FROM t CROSS JOIN c CROSS JOIN al JOIN qv ON qv.group_id = t.group_id JOIN pr ON pr.group_id = t.group_id JOIN pd ON pd.group_id = t.group_id LEFT JOIN dv ON dv.group_id = t.group_id)"
+    ", r1 AS (SELECT *, rank() OVER (ORDER BY round(sh, 9) DESC NULLS LAST) AS a1, rank() OVER (ORDER BY round(hd, 9) DESC NULLS LAST) AS a2, rank() OVER (ORDER BY round(q, 9) NULLS LAST) AS a3, rank() OVER (ORDER BY group_size DESC) AS a4, rank() OVER (ORDER BY round(var, 9) NULLS LAST) AS a5, rank() OVER (ORDER BY round(iqr, 9) NULLS LAST) AS a6, rank() OVER (ORDER BY round(pm, 9) NULLS LAST) AS a7, rank() OVER (ORDER BY round(sd, 9) DESC NULLS LAST) AS a8, rank() OVER (ORDER BY tier) AS a9 FROM g)"
+    ", r2 AS (SELECT *, rank() OVER (ORDER BY round((a1 + a2 + a3 + a4) / 4, 9)) AS act, rank() OVER (ORDER BY round((a5 + a6 + a7) / 3, 9)) AS con, CASE WHEN sd IS NOT NULL THEN rank() OVER (ORDER BY CASE WHEN sd IS NOT NULL THEN round((a2 + a5 + a8) / 3, 9) END NULLS LAST) END AS dvr FROM r1)"
+    ", r3 AS (SELECT *, rank() OVER (ORDER BY round((a9 + act + con) / 3, 9)) AS itp, (act + con + coalesce(dvr, (act + con) / 2) + a9) / 4 AS base FROM r2), r4 AS (SELECT *, rank() OVER (ORDER BY round(base, 9)) AS br FROM r3)"
+    ", ov AS (SELECT a.group_id AS g1, b.group_id AS g2, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS j FROM m a JOIN m b ON a.compound_id = b.compound_id AND a.group_id <> b.group_id JOIN t x ON x.group_id = a.group_id JOIN t y ON y.group_id = b.group_id GROUP BY 1, 2)"
+    ", rd AS (SELECT g1 AS group_id, max(j) AS mj FROM ov JOIN r4 x ON x.group_id = g1 JOIN r4 y ON y.group_id = g2 WHERE y.br < x.br OR (y.br = x.br AND g2 < g1) GROUP BY 1)"
+    ", r5 AS (SELECT r4.*, coalesce(mj >= 0.8, false) AS redundant, base + CASE WHEN coalesce(mj >= 0.8, false) THEN 5.0 ELSE 0.0 END AS score FROM r4 LEFT JOIN rd ON rd.group_id = r4.group_id), an AS (SELECT *, rank() OVER (ORDER BY round(score, 9)) AS pos FROM r5)"
+)
+
+
+@query(ANALYSED + f" SELECT group_id, act AS activity_enriched_group_rank, dvr AS structurally_diverse_active_group_rank, con AS consistent_group_rank, itp AS interpretable_group_rank, {R('score')} AS insight_priority_score, pos AS insight_priority_rank, redundant AS redundancy_flag FROM an")
 def q_rank_five(spark, d):
-    return analysed(spark, d).select("group_id", "activity_enriched_group_rank", "structurally_diverse_active_group_rank", "consistent_group_rank", "interpretable_group_rank", "insight_priority_score", "insight_priority_rank", "redundancy_flag")
+    return rounded(analysed(spark, d).select("group_id", "activity_enriched_group_rank", "structurally_diverse_active_group_rank", "consistent_group_rank", "interpretable_group_rank", "insight_priority_score", "insight_priority_rank", "redundancy_flag"))
 
 
-@query()
+@query(ANALYSED + f", lg AS (SELECT group_id, 'property_median' AS metric_name, 'higher_is_better' AS direction, med AS v, -med AS o FROM an UNION ALL SELECT group_id, 'high_active_fraction_delta', 'higher_is_better', hd, -hd FROM an UNION ALL SELECT group_id, 'property_variance', 'lower_is_better', var, var FROM an UNION ALL SELECT group_id, 'property_iqr', 'lower_is_better', iqr, iqr FROM an UNION ALL SELECT group_id, 'median_pairwise_abs_delta', 'lower_is_better', pm, pm FROM an UNION ALL SELECT group_id, 'structural_diversity_score', 'higher_is_better', sd, -sd FROM an UNION ALL SELECT group_id, 'insight_priority_score', 'lower_is_better', score, score FROM an) SELECT metric_name, direction, group_id, {R('v', 4)} AS metric_value, rank() OVER (PARTITION BY metric_name ORDER BY round(o, 9)) AS rank FROM lg WHERE v IS NOT NULL")
 def q_group_metric_ranking(spark, d):
-    return insight.metric_ranking(analysed(spark, d))
+    return insight.metric_ranking(analysed(spark, d)).withColumn("metric_value", r("metric_value", 4))
 
 
-@query()
+@query(ANALYSED + f" SELECT CASE group_id % 3 WHEN 0 THEN 'human_column' WHEN 1 THEN 'similarity_cluster' ELSE 'mcs' END AS group_source, 'group' AS group_type, count(*) AS group_count, {R('avg(group_size)')} AS mean_group_size, count(*) FILTER (redundant) AS redundant_count, min(pos) AS best_rank FROM an GROUP BY 1")
 def q_source_summary(spark, d):
-    return insight.source_summary(analysed(spark, d))
+    return rounded(insight.source_summary(analysed(spark, d)))
 
 
 @query(f"WITH {M}, {CUTS} SELECT group_id, compound_id, y AS property, y >= hi AS is_high_active, y <= lo AS is_low_active FROM m, c")
@@ -537,10 +558,10 @@ def q_registry(spark, d):
     return groups.registry(human(spark, d), compounds).select("group_id", "group_label", "group_type", "compound_count", "wet_count", "virtual_count")
 
 
-@query()
+@query(f"WITH {HUMAN}, j AS (SELECT h.*, k.p_size % 5 = 0 AS v FROM h JOIN part k ON k.p_partkey = h.compound_id), s AS (SELECT group_id, count(*) >= 10 AS big, count(*) FILTER (NOT v) >= 5 AS wet FROM j GROUP BY 1) SELECT group_id AS selected_group_id, concat_ws(' ', CASE WHEN wet THEN 'sufficient_wet_count' END, 'high_interpretability', CASE WHEN big THEN 'sufficient_size' END) AS selection_reason, 1 AS source_priority, CASE wet::INTEGER + big::INTEGER WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority, wet OR big AS enabled_for_downstream FROM s")
 def q_selection(spark, d):
     compounds = read(spark, d, "part").select(F.col("p_partkey").alias("compound_id"), (F.col("p_size") % 5 == 0).alias("is_virtual"))
-    return groups.selection(groups.registry(human(spark, d), compounds))
+    return groups.selection(groups.registry(human(spark, d), compounds)).withColumn("selection_reason", F.array_join("selection_reason", " "))
 
 
 # Common cores over a table of mined pairs: a line item is a pair, what it has in common a core
@@ -654,6 +675,16 @@ def q_svd(spark, d):
     return features.reduce_svd(vectors(spark, d).select("compound_id", "features"), "compound_id", 64, 16)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in COVERAGE) + ") t(feature_category, support, needed_input)")
+@query("""
+SELECT * FROM (VALUES
+  ('Advanced 3D-QSAR field', 'CoMFA/CoMSIA-like fields, interaction fields', 'Partial/limited', 'Use MOE 3D-QSAR and field descriptor functions', 'aligned 3D conformers'),
+  ('Pharmacophore descriptor', 'pharmacophore hypotheses, feature distances', 'Partial', 'Use MOE pharmacophore functions', '3D conformers'),
+  ('pKa/logD/protomer', 'predicted pKa, logD, protomer state', 'Weak', 'Use MOE or another ionization-state predictor', 'SMILES/SDF'),
+  ('Conformational analysis', 'conformer ensemble energy, strain', 'Partial', 'Use MOE conformational search', '3D conformers'),
+  ('Alignment-based descriptor', 'alignment-dependent shape/field', 'Limited', 'Use MOE alignment/QSAR workflow', 'aligned 3D conformers'),
+  ('Electrostatic field', 'surface ESP, field values', 'Limited', 'Use MOE field descriptors', '3D conformers'),
+  ('Receptor-independent pharmacophore', 'feature triplets, pharmacophore fingerprints', 'Partial', 'Use MOE pharmacophore fingerprints', '3D conformers'),
+  ('Ligand interaction field', 'MIF-like descriptors', 'Limited', 'Use MOE field analysis', '3D conformers')
+) t(feature_category, examples, rdkit_support, moe_supplementation_plan, input)""")
 def q_coverage_table(spark, d):
     return coverage_table(spark)

@@ -95,13 +95,36 @@ def figure_data(name: str, tables: dict[str, DataFrame], most: int = 20000) -> D
         "overlap_heatmap": ("overlaps", ["g1", "g2", "jaccard"], True),
         "source_summary": ("sources", ["group_source", "group_count"], False),
         "core_counts": ("cores", ["core", "pair_count", "heavy_atoms", "support"], True),
+        "core_pair_counts": ("cores", ["rank", "pair_count"], True),
+        "core_heavy_atoms": ("cores", ["heavy_atoms", "pair_count"], True),
+        "core_support": ("cores", ["support", "pair_count"], True),
+        "core_sweep_groups": ("core_sweep", ["top_n", "min_pair_count", "min_heavy_atoms", "selected_core_count"], False),
+        "core_sweep_sizes": ("core_sweep", ["top_n", "min_pair_count", "min_heavy_atoms", "median_group_size", "max_group_size", "singleton_group_count"], False),
         "cluster_sizes": ("clusters", ["parameter_set_id", "cluster_count", "median_size", "max_size"], False),
+        "cluster_methods": ("clusters", ["parameter_set_id", "cluster_count", "member_count"], False),
+        "cluster_count_sensitivity": ("clusters", ["parameter_set_id", "cluster_count", "singleton_count"], False),
+        "cluster_size_sensitivity": ("clusters", ["parameter_set_id", "median_size", "max_size"], False),
     }
     table, columns, points = pick[name]
     df = tables[table].select(*columns)
     return df.orderBy(F.xxhash64(*columns)).limit(most) if points else df
 
 
+def write_figures(names: Sequence[str], tables: dict[str, DataFrame], folder: str, config: dict[str, Any], overwrite: bool = False) -> list[str]:
+    """The rows behind each figure as a table, and its picture where matplotlib is; warnings for pictures that couldn't be drawn."""
+    warnings: list[str] = []
+    if not config["enabled"]:
+        return warnings
+    for name in names:
+        data = figure_data(name, tables, config.get("max_points_per_plot", config.get("max_groups_per_plot", 20000)))
+        write_table(data, f"{folder}/{name}.csv", overwrite)
+        try:
+            draw(name, data, f"{folder}/{name}.{config['format']}", config["dpi"])
+        except MissingBackend as e:
+            warnings.append(str(e))
+    return warnings
+
+
 def draw(name: str, data: DataFrame, path: str, dpi: int = 160) -> None:
     """A plain picture of a figure's data; needs matplotlib."""
     try:

@@ -12,6 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from groveline import config
 from groveline.functions import structures
+from groveline.operators import clustering
 from groveline.plans import runs
 from groveline.sources import sinks, tables
 from groveline.streaming.maintenance import windowed_groups
@@ -63,10 +64,9 @@ def test_duplicate_ids_stop_a_run(spark, tmp_path):
     assert not (tmp_path / "out").exists()
 
 
+TOY = """
 class Toy:
-    """Letters stand for atoms."""
-
-    name = "toy"
+    name = "toy"  # letters stand for atoms
 
     def canonical(self, s):
         return "".join(sorted(s)) if s.isalpha() else None
@@ -74,7 +74,7 @@ class Toy:
     def vector(self, s, set_id, params):
         if s.startswith("a") and set_id == "L08":
             raise RuntimeError("no")
-        return [float(s.count(c)) for c in "abc"]
+        return [float(c in s) if set_id == "L02" else float(s.count(c)) for c in "abcdefgh"]
 
     def scaffold(self, s):
         return s[:1], "*", 1, len(s)
@@ -88,17 +88,68 @@ class Toy:
 
     def matches(self, s, pattern):
         return set(pattern) <= set(s)
+"""
+
 
+@pytest.fixture
+def toy(spark, tmp_path, monkeypatch):
+    """A backend given as a module path, which workers import by themselves."""
+    name = f"toy_{tmp_path.name.replace('-', '_')}"
+    (tmp_path / f"{name}.py").write_text(TOY)
+    spark.sparkContext.addPyFile(str(tmp_path / f"{name}.py"))
+    monkeypatch.setattr(structures, "_BACKENDS", {"toy": f"{name}:Toy"})
 
-def test_structures(spark, tmp_path, monkeypatch):
+
+def test_describe(spark, tmp_path, toy):
+    (tmp_path / "in.csv").write_text("compound_id,SMILES\n1,cab\n2,b2\n3,bb\n4,ch\n5,hd\n")
+    source = str(tmp_path / "in.csv")
+    out = runs.describe(spark, source, str(tmp_path / "out"), ["L02", "L08"])
+    assert out["structure_column"] == "SMILES" and out["structure_tier"] == "medium" and out["errors"] == {"L02": 1, "L08": 2}
+    errors = {(r["compound_id"], r["descriptor_set"], r["error_type"]) for r in tables.read_csv(spark, str(tmp_path / "out/errors.csv")).collect()}
+    assert ("1", "L08", "RuntimeError") in errors and {e[:2] for e in errors} == {("1", "L08"), ("2", "L02"), ("2", "L08")}
+    df = tables.read_csv(spark, source)
+    assert structures.structure_column(df, [], ["compound_id", "SMILES"])[0] == "SMILES"
+    assert structures.structure_column(df, ["compound_id"], []) == (None, "low", ["no column's values can be read as structures: compound_id"])
+
+
+def test_all_builders(spark, tmp_path, toy):
+    """All seven builders, with relations of all six types, the excluded rows and the figures' rows."""
+    words = ["abcde", "abcdf", "abcdg", "abceh", "bcdef", "bcdeg", "bcdfh", "abcdef"]
+    lines = [f"c{i:02d},{'' if i == 7 else words[i % 8] + 'h' * (i % 3)},{['A;B', 'A', 'A;B', 'B'][i % 4]},{'xyx'[i % 3]},{i}" for i in range(32)]
+    (tmp_path / "in.csv").write_text("compound_id,SMILES,series,class,pIC50\n" + "\n".join(lines) + "\n")
+    few = {"methods": ["butina", "connected_components", "louvain"], "thresholds": [0.6], "top_k": [3], "resolutions": [1.0]}
+    config = {"description_inputs": {"enabled": False}, "relations": {"min_jaccard": 0.3}, "outputs": {"write_context_aliases": True}, "guards": {"butina": 5}, "group_builders": {
+        "human_group_builder": {"grouping_columns": ["series", "class"], "combine_columns": [["series", "class"]]}, "similarity_group_builder": few,
+        "mcs_group_builder": {"candidate_min_pair_count": 2, "min_mcs_heavy_atoms": 3}, "meta_group_builder": {"min_jaccard": 0.4}}}
+    out = runs.grouping(spark, str(tmp_path / "in.csv"), str(tmp_path / "groups"), config)
+    read = lambda n: json.loads((tmp_path / "groups" / n).read_text())
+    assert {g["group_source"] for g in read("group_registry.json")} == {"human_column", "murcko", "mcs", "fragment", "similarity", "meta"}
+    assert {r["relation_type"] for r in read("group_relations.json")} == {"overlaps_with", "subset_of", "similar_core_to", "derived_from", "meta_group_of", "same_source_as"}
+    assert [r["compound_id"] for r in tables.read_csv(spark, str(tmp_path / "groups/excluded_compounds.csv")).collect()] == ["c07"]
+    assert any("butina" in w for w in out["warnings"]) and read("column_detection_report.json")["structure_column"] == "SMILES"
+    assert read("context_registry.json") == read("group_registry.json") and tables.read_csv(spark, str(tmp_path / "groups/figures/core_sweep_sizes.csv")).count() == 180
+    more = runs.group_insight(spark, str(tmp_path / "in.csv"), str(tmp_path / "groups"), str(tmp_path / "insight"), {"statistics": {"permutation_test": True, "permutation_count": 50}})
+    summary = tables.read_csv(spark, str(tmp_path / "insight/group_insight_summary.csv"))
+    assert more["groups"] == summary.count() and summary.where("permutation_pvalue IS NULL").count() == 0
+    assert tables.read_csv(spark, str(tmp_path / "insight/group_source_summary.csv")).count() == 6
+    assert tables.read_csv(spark, str(tmp_path / "insight/figures/overlap_heatmap.csv")).count() > 0
+
+
+def test_guards_come_first(spark):
+    nodes = spark.range(9).select(structures.F.col("id").alias("node"))
+    for method in ("butina", "leiden", "hierarchical", "louvain"):
+        with pytest.raises(clustering.TooLarge, match="guard is 5"):
+            clustering.swept(nodes, spark.createDataFrame([], "a long, b long, weight double"), [{"method": method, "threshold": 0.5}], 5)
+        assert config.GUARDS[method] > 0
+
+
+def test_structures(spark, tmp_path):
     (tmp_path / "in.csv").write_text("compound_id,SMILES\n1,cab\n2,b2\n3,bb\n")
     source = str(tmp_path / "in.csv")
     plan = runs.describe(spark, source, str(tmp_path / "out"), dry_run=True)
     assert plan["row_count"] == 3 and plan["sets"] == [f"L{i:02d}" for i in range(1, 12)]
     with pytest.raises(structures.MissingBackend, match="rdkit"):
         runs.describe(spark, source, str(tmp_path / "out"))
-    monkeypatch.setitem(structures._BACKENDS, "toy", Toy)
-    # workers import the package afresh, so the toy only runs here
     with pytest.raises(ValueError, match="3D"):
         structures.selected_sets(["L14"])
     assert [s.set_id for s in structures.selected_sets(["L24", "pharm2d_svd"])] == ["L24", "L25"] and len(structures.SETS) == 11 + 3 + 9 + 20 + 1
