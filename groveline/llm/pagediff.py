@@ -4,7 +4,8 @@ Each page is cut into lines, one for each block. Pages of a host stand in the or
 whose path agrees with its own the longest, lines are aligned by longest common subsequence, and lines that the two share are
 deleted: what a site puts on every page is shared by neighbours, the article isn't. What no neighbour shows goes by the markup: lines
 of menus, headers, footers, sidebars, notices, adverts, forms and reader comments. Lines that are neither shared nor of such a part
-stay, inside article and main elements or outside. Of shared lines only paragraphs and headings inside a page's article element stay
+stay, inside article and main elements or outside. Where that leaves nothing, the heaviest element that only a layout word in its name sets
+apart (a div named side-story) is the article. Of shared lines only paragraphs and headings inside a page's article element stay
 (articles are reprinted and cite each other). A page that is a copy says nothing: pages in order that are copies of the page before
 form a run, and each page is paired with the nearest page of another run, before or after, that is no copy of it; three runs are
 tried on each side. A copy has nine tenths of both pages' unmarked lines and of their bytes in common.
@@ -17,6 +18,7 @@ result; columns other than page_id, url and html are not read. Pages are handled
 from __future__ import annotations
 
 import html as entities
+import math
 import pickle
 import re
 from bisect import bisect_right
@@ -39,6 +41,8 @@ NAMED = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead topbar comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager widget toolbar skip legal copyright".split()
 )
+#: Of these words, those that also stand in names of an article's own element.
+LAYOUT = frozenset("side header masthead topbar banner notice overlay modal widget toolbar promo promotion related recommended legal".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
@@ -49,7 +53,8 @@ BLOCK_LEVEL = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Open:
-    """An element that is open: whether its text is silent, stands around the article, inside an article or main element, or is prose of an article element."""
+    """An element that is open: whether its text is silent, stands around the article, inside an article or main element, or is prose of an
+    article element. box: number of the outermost element that stands around the article by nothing but a layout word in its name, or 0."""
 
     tag: str
     silent: bool = False
@@ -57,6 +62,7 @@ class Open:
     article: bool = False
     element: bool = False
     prose: bool = False
+    box: int = 0
 
 
 @dataclass
@@ -64,25 +70,34 @@ class Page:
     lines: list[str] = field(default_factory=list)
     around: list[bool] = field(default_factory=list)
     prose: list[bool] = field(default_factory=list)
+    box: list[int] = field(default_factory=list)
 
 
-def set_apart(attributes: str) -> bool:
+#: How an element is set apart from the article: not, by a layout word in its name, or by all else.
+NO, PERHAPS, YES = 0, 1, 2
+
+
+def set_apart(attributes: str) -> int:
     """Whether an element's class, id or role, or its being hidden, sets it apart from the article."""
+    out = NO
     for name, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return YES
         if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in NAMED for w in BLOCK_LEVEL.split(value)):
-            return True
-    return False
+            return YES
+        if name in ("class", "id"):
+            words = {w.lower() for w in BLOCK_LEVEL.split(value)} & NAMED
+            if words - LAYOUT:
+                return YES
+            out = max(out, PERHAPS if words else NO)
+    return out
 
 
 def cut(source: str) -> Page:
     """The lines of a page: the text between the starts and ends of blocks, white space run together, not empty."""
-    page, text, stack = Page(), [], [Open("")]
+    page, text, stack, boxes = Page(), [], [Open("")], 0
 
     def end_line() -> None:
         line = " ".join(entities.unescape("".join(text)).split())
@@ -91,6 +106,7 @@ def cut(source: str) -> Page:
             page.lines.append(line)
             page.around.append(stack[-1].around)
             page.prose.append(stack[-1].prose)
+            page.box.append(stack[-1].box)
 
     at, size = 0, len(source)
     while at < size:
@@ -126,16 +142,22 @@ def cut(source: str) -> Page:
         while stack[-1].tag in CLOSES.get(tag, {"p"} if tag not in INLINE else ()):
             stack.pop()
         up = stack[-1]
-        now = Open(tag, up.silent, up.around, up.article, up.element, up.prose or up.element and tag in PROSE)
+        now = Open(tag, up.silent, up.around, up.article, up.element, up.prose or up.element and tag in PROSE, up.box)
+        apart = set_apart(attributes)
         if tag in RAW or tag in SILENT:
             now.silent = True
         if tag in ("article", "main"):
-            now.article, now.around = not set_apart(attributes), set_apart(attributes) or any(o.article and o.around for o in stack)
+            now.article, now.around = apart < YES, apart == YES or any(o.article and o.around for o in stack)
+            now.box = up.box if now.around and apart < YES else 0
             now.element = now.article and (up.element or tag == "article")
         elif tag == "body":
             now.silent = now.around = False
-        elif tag in AROUND or tag == "header" and not up.article or set_apart(attributes):
-            now.around = True
+            now.box = 0
+        elif tag in AROUND or tag == "header" and not up.article or apart == YES:
+            now.around, now.box = True, 0
+        elif apart == PERHAPS and not up.around:
+            boxes += 1
+            now.around, now.box = True, boxes
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = stop.end() if stop else size
@@ -147,26 +169,43 @@ def cut(source: str) -> Page:
 
 
 def common_lines(a: list[int], b: list[int]) -> list[bool]:
-    """Which of a's lines are on a longest common subsequence with b, by bit vectors over b."""
+    """Which of a's lines are on a longest common subsequence with b, by bit vectors over b.
+
+    Lines that only one of them has are left out first. Of the bit vectors, one in some number of lines is kept, and those between are
+    made again on the way back, so that memory grows with the lines to the power of 1.5 bits.
+    """
+    own, other = set(a), set(b)
+    places = [i for i, x in enumerate(a) if x in other]
+    x, y = [a[i] for i in places], [h for h in b if h in own]
     where: dict[int, int] = {}
-    for j, y in enumerate(b):
-        where[y] = where.get(y, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    v = full
-    rows = [v]  # a zero bit at j: b's line j makes the longest common subsequence with the lines of a so far one longer
-    for x in a:
-        u = v & where.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    shared, i, j = [False] * len(a), len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            shared[i] = True
-        elif rows[i] >> (j - 1) & 1:
-            j -= 1
-        else:
-            i -= 1
+    for j, h in enumerate(y):
+        where[h] = where.get(h, 0) | 1 << j
+    full = (1 << len(y)) - 1
+
+    def after(v: int, h: int) -> int:  # a zero bit at j: y's line j makes the longest common subsequence with the lines of x so far one longer
+        u = v & where[h]
+        return ((v + u) | (v - u)) & full
+
+    step = max(1, math.isqrt(len(x)))
+    marks, v = [], full
+    for n, h in enumerate(x):
+        if n % step == 0:
+            marks.append(v)
+        v = after(v, h)
+    shared, j = [False] * len(a), len(y)
+    for k in range(len(marks) - 1, -1, -1):
+        rows = [marks[k]]
+        for h in x[k * step : (k + 1) * step]:
+            rows.append(after(rows[-1], h))
+        i = len(rows) - 1
+        while i and j:
+            if x[k * step + i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                shared[places[k * step + i]] = True
+            elif rows[i] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
     return shared
 
 
@@ -302,7 +341,7 @@ def parsed(rows: DataFrame, borders: list[tuple], text: bool = True) -> DataFram
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, flags, lengths, zipped, sizes = [], [], [], [], []
+            hashes, flags, boxes, lengths, zipped, sizes = [], [], [], [], [], []
             keys = zip(*(batch.column(n).to_pylist() for n in KEY), strict=True)
             cells = pa.array([bisect_right(borders, place(*k)) for k in keys], pa.int32())
             for source in batch.column("html").to_pylist():
@@ -310,14 +349,15 @@ def parsed(rows: DataFrame, borders: list[tuple], text: bool = True) -> DataFram
                 raw = [x.encode("utf-8", "replace") for x in page.lines]
                 hashes.append(np.array([zlib.crc32(x) << 31 ^ zlib.adler32(x) for x in raw], np.int64).tobytes())
                 flags.append(bytes(a + 2 * b for a, b in zip(page.around, page.prose, strict=True)))
+                boxes.append(np.array(page.box, np.int32).tobytes())
                 lengths.append(np.array([len(x) for x in raw], np.int32).tobytes())
                 joined = b"\n".join(raw) if text else b""
                 zipped.append(pa.compress(joined, codec="zstd", asbytes=True) if text else None)
                 sizes.append(len(joined))
-            made = [cells, pa.array(hashes, pa.binary()), pa.array(flags, pa.binary()), pa.array(lengths, pa.binary()), pa.array(zipped, pa.binary()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in KEY), *made], [*KEY, "cell", "hashes", "flags", "sizes", "zip", "size"])
+            made = [cells, pa.array(hashes, pa.binary()), pa.array(flags, pa.binary()), pa.array(boxes, pa.binary()), pa.array(lengths, pa.binary()), pa.array(zipped, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in KEY), *made], [*KEY, "cell", "hashes", "flags", "boxes", "sizes", "zip", "size"])
 
-    return rows.mapInArrow(each, "host string, path string, page_id long, url string, mark long, cell int, hashes binary, flags binary, sizes binary, zip binary, size long")
+    return rows.mapInArrow(each, "host string, path string, page_id long, url string, mark long, cell int, hashes binary, flags binary, boxes binary, sizes binary, zip binary, size long")
 
 
 def in_order(c: dict[str, list]) -> list[int]:
@@ -326,12 +366,18 @@ def in_order(c: dict[str, list]) -> list[int]:
 
 
 def texts(c: dict[str, list], order: list[int], shared: list[list[bool]]) -> list[str]:
-    """The main texts of pages, in order."""
+    """The main texts of pages, in order. Where nothing but boxes is left, the one with most text of its own is the article."""
     out = []
     for i, found in zip(order, shared, strict=True):
         size = c["size"][i]
         lines = pa.decompress(c["zip"][i], decompressed_size=size, codec="zstd", asbytes=True).decode().split("\n") if size else []
-        out.append(" ".join(x for x, s, f in zip(lines, found, c["flags"][i], strict=True) if not f & 1 and (f & 2 or not s)))
+        kept = [not f & 1 and (f & 2 or not s) for s, f in zip(found, c["flags"][i], strict=True)]
+        if lines and not any(kept):
+            box = np.where(found, 0, np.frombuffer(c["boxes"][i], np.int32))
+            weight = np.bincount(box, np.frombuffer(c["sizes"][i], np.int32))
+            weight[0] = 0
+            kept = (box == weight.argmax()) & (box > 0)
+        out.append(" ".join(x for x, k in zip(lines, kept, strict=True) if k))
     return out
 
 

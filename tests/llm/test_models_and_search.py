@@ -155,6 +155,21 @@ def test_pages_differ_inside_article_and_main(spark):
         assert got == {i: f"Body {i}.{cited} Own box {i} Teaser {i} Rest {i}" for i in range(3)}
 
 
+def test_pages_with_the_article_in_a_box_named_like_a_sidebar(spark):
+    """A layout word in a name decides only as long as something else is left; comments never become the article."""
+    page = lambda i: f"<div class='side-story'><h1>Head {i}</h1><p>Body {i}.</p></div><div class=comments><p>I, reader {i}, think that this is far too short.</p></div><div class='side'>Box {i}</div>"
+    both = lambda i: f"<div class='side-story'><p>Beside {i} and more of it</p></div><article class='banner-story'><p>Body {i}.</p></article>"
+    assert extracted(spark, [(i, f"http://h.example/{i}", page(i)) for i in range(3)]) == {i: f"Head {i} Body {i}." for i in range(3)}
+    assert extracted(spark, [(i, f"http://h.example/{i}", both(i)) for i in range(3)]) == {i: f"Body {i}." for i in range(3)}
+
+
+def test_common_lines_of_long_pages():
+    """Beyond what whole tables of bits would allow for."""
+    a = [i for i in range(30_000) if i % 7]
+    b = [i for i in range(30_000) if i % 5]
+    assert [x for x, s in zip(a, pagediff.common_lines(a, b), strict=True) if s] == [i for i in range(30_000) if i % 5 and i % 7]
+
+
 def test_pages_of_templates_and_among_copies(spark):
     """Ten unmarked lines of a template beside five of the page are no copy; beyond a run of copies the next page is met."""
     menu = "".join(f"<div>Topic {k}</div>" for k in range(10))
