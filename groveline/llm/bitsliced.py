@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groveline.llm.common import spread, written
+from groveline.llm.hashing import tidy
 
 SCALE = 256
 ROWS = 1 << 16
@@ -182,8 +183,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, rows: int = ROWS) ->
         return pa.table({"chunk": t.column("chunk")[:1], **{c: pa.array([v.tobytes()], pa.binary()) for c, v in made.items()}})
 
     part = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("vec_id", "mark"), F.lit(n)).cast("int")).groupBy(name)
-    index = written(part(shown, blocks, "block").applyInArrow(packed, "block int, ids binary, marks binary, low binary, bits binary, slices binary"))
-    queries = written(part(asked.select("vec_id", "mark", "x"), chunks, "chunk").applyInArrow(chunk, "chunk int, query_ids binary, query_marks binary, queries binary"))
+    index = written(part(shown, blocks, "block").applyInArrow(tidy(packed), "block int, ids binary, marks binary, low binary, bits binary, slices binary"))
+    queries = written(part(asked.select("vec_id", "mark", "x"), chunks, "chunk").applyInArrow(tidy(chunk), "chunk int, query_ids binary, query_marks binary, queries binary"))
 
     def best(t: pa.Table) -> pa.Table:
         one = t.slice(0, 1).to_pylist()[0]
@@ -193,7 +194,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, rows: int = ROWS) ->
         return pa.table({n: pa.array([r[j] for r in out], pa.int64()) for j, n in enumerate(("query_id", "query_mark", "vec_id", "score"))})
 
     # rows of the pairs are whole blocks, a bounded set of queries against a bounded set of rows each
-    pairs = index.crossJoin(queries).groupBy("block", "chunk").applyInArrow(best, "query_id long, query_mark long, vec_id long, score long")
+    pairs = index.crossJoin(queries).groupBy("block", "chunk").applyInArrow(tidy(best), "query_id long, query_mark long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_mark").orderBy(F.desc("score"), "vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     copies = asked.select(F.col("vec_id").alias("_q"), F.col("mark").alias("_m"), "copies")

@@ -33,10 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of texts that a Python worker gets at once, fewer than Spark's default of 10,000, for the memory of long texts.
+BATCH_ROWS, ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs a read and not a new run."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(BATCH_ROWS)
+    conf.set(BATCH_ROWS, str(min(int(before) if int(before) > 0 else ROWS_AT_ONCE, ROWS_AT_ONCE)))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH_ROWS, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_at = path
     return table

@@ -6,6 +6,9 @@ A stretch of tokens is hashed as the difference of two prefix sums of random tok
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time. A longer text is worked on alone, with some 60 bytes of memory for each of its own.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F & ~7 | 5)
 
@@ -39,6 +42,37 @@ def byte_values(which: int) -> np.ndarray:
     return np.random.default_rng(1000 + which).integers(0, 1 << 64, 256, np.uint64)
 
 
+def release() -> None:
+    """Gives free memory back to the system: workers stay for the next task, and what they keep counts against their executor."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def tidy(f):
+    """f, a kernel over batches or over whole groups, with ``release`` at its end."""
+
+    @functools.wraps(f)
+    def batches(*args):
+        try:
+            yield from f(*args)
+        finally:
+            release()
+
+    @functools.wraps(f)
+    def group(*args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
+    out = batches if inspect.isgeneratorfunction(f) else group
+    out.__signature__ = inspect.signature(f)  # Spark counts the arguments
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit integers that spreads every bit."""
     h = h ^ (h >> np.uint64(31))

@@ -191,7 +191,7 @@ def _described(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 made = [pa.array(node, mask=size == 0), pa.array(second, mask=size == 0), pa.array(size), pa.array(bitmaps(elements, at), pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), batch.column("rid").slice(a, z - a), *made], ["doc_id", "rid", "node", "second", "n_shingles", "sketch"])
 
-    return docs.mapInArrow(each, "doc_id long, rid long, node long, second long, n_shingles long, sketch binary")
+    return docs.mapInArrow(hashing.tidy(each), "doc_id long, rid long, node long, second long, n_shingles long, sketch binary")
 
 
 def _names(described: DataFrame, scheme: Scheme) -> Names:
@@ -216,7 +216,7 @@ def _signed(docs: DataFrame, scheme: Scheme, names: Names) -> DataFrame:
                 keep = new[row]
                 yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[row[keep]]), pa.array(room[keep].astype(np.int32))], ["sig", "node", "room"])
 
-    return docs.select("text").mapInArrow(each, "sig long, node long, room int")
+    return docs.select("text").mapInArrow(hashing.tidy(each), "sig long, node long, room int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def _members(docs: DataFrame, scheme: Scheme, names: Names) -> DataFrame:
     crowded buckets if these are no more than the spare places that it hasn't used for empty parts: its pairs meet elsewhere.
     """
     dealt = _signed(docs, scheme, names).repartition("sig").sortWithinPartitions("sig", "node")
-    members = written(dealt.mapInArrow(_shared, "sig long, node long, room int"))
+    members = written(dealt.mapInArrow(hashing.tidy(_shared), "sig long, node long, room int"))
     crowded = written(members.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select("sig"))
     if crowded.limit(1).count():
         band = F.shiftright("room", 16).alias("band")
@@ -273,7 +273,7 @@ def _texts(wanted: DataFrame, docs: DataFrame, scheme: Scheme, names: Names) ->
                 raw = [bytes(texts.data[x:y]) for x, y in zip(texts.offsets[a:z], texts.offsets[a + 1 : z + 1], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(node), batch.column("rid").slice(a, z - a), pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in raw], pa.binary()), pa.array([len(t) for t in raw], pa.int64())], ["node", "rid", "zip", "size"])
 
-    texts = docs.select("rid", "text").mapInArrow(packed, "node long, rid long, zip binary, size long")
+    texts = docs.select("rid", "text").mapInArrow(hashing.tidy(packed), "node long, rid long, zip binary, size long")
     return wanted.select("node", "rid").join(texts, ["node", "rid"]).dropDuplicates(["node"]).select("node", "zip", "size")
 
 
@@ -303,7 +303,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scheme: Scheme
                 kept.append(100 * common >= scheme.percent * (both - common))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    out = written(both.mapInArrow(each, "a long, b long"))
+    out = written(both.mapInArrow(hashing.tidy(each), "a long, b long"))
     discard(wanted, texts)
     return out
 
@@ -490,7 +490,7 @@ def _compared(placed: DataFrame, nodes: DataFrame, most: int, scheme: Scheme) ->
     task = F.pmod(F.xxhash64("lead", "low", "high"), F.lit(max(1, -(-rows // TASK)))).cast("int")
     dealt = dealt.select(task.alias("task"), "sig", "node", "component", "i", "low", "high")
     maps = dealt.select(F.col("task").alias("of_task"), F.col("node").alias("of_node")).distinct().join(nodes.select("node", "size", "sketch"), F.col("of_node") == F.col("node")).select("of_task", "of_node", "size", "sketch")
-    return written(dealt.groupBy("task").cogroup(maps.groupBy("of_task")).applyInArrow(_comparer(most, scheme.percent), "a long, b long").distinct())
+    return written(dealt.groupBy("task").cogroup(maps.groupBy("of_task")).applyInArrow(hashing.tidy(_comparer(most, scheme.percent)), "a long, b long").distinct())
 
 
 def _linked_nodes(members: DataFrame, docs: DataFrame, nodes: DataFrame, scheme: Scheme, names: Names) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groveline.llm.hashing import Texts
+from groveline.llm.hashing import Texts, tidy
 
 UNKNOWN = "und"
 
@@ -284,7 +284,7 @@ def identify(docs: DataFrame, shape: Shape = Shape(), keep: tuple[str, ...] = ("
             kept = [batch.column(c) for c in (*keep, "held_out")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.concatenate([*scores, np.empty(0)]))], [*keep, "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(each, full)
+    return rows.mapInArrow(tidy(each), full)
 
 
 def known(docs: DataFrame, least: float = 0.5, shape: Shape | None = None) -> DataFrame:

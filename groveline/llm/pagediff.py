@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groveline.llm.hashing import tidy
+
 # Element names of HTML, and words by which sites name the parts around an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style noscript template iframe svg math canvas object audio video select textarea button title".split())
@@ -357,7 +359,7 @@ def parsed(rows: DataFrame, borders: list[tuple], text: bool = True) -> DataFram
             made = [cells, pa.array(hashes, pa.binary()), pa.array(flags, pa.binary()), pa.array(boxes, pa.binary()), pa.array(lengths, pa.binary()), pa.array(zipped, pa.binary()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in KEY), *made], [*KEY, "cell", "hashes", "flags", "boxes", "sizes", "zip", "size"])
 
-    return rows.mapInArrow(each, "host string, path string, page_id long, url string, mark long, cell int, hashes binary, flags binary, boxes binary, sizes binary, zip binary, size long")
+    return rows.mapInArrow(tidy(each), "host string, path string, page_id long, url string, mark long, cell int, hashes binary, flags binary, boxes binary, sizes binary, zip binary, size long")
 
 
 def in_order(c: dict[str, list]) -> list[int]:
@@ -389,7 +391,7 @@ def edges_of_cells(lines: DataFrame, copy: float, tries: int) -> dict[int, tuple
         both = edges([seen(c, i) for i in in_order(c)], copy, tries)
         return pa.table({"cell": pa.array(c["cell"][:1], pa.int32()), "edges": pa.array([pickle.dumps(both)], pa.binary())})
 
-    found = lines.drop("zip", "size").groupBy("cell").applyInArrow(each, "cell int, edges binary").collect()
+    found = lines.drop("zip", "size").groupBy("cell").applyInArrow(tidy(each), "cell int, edges binary").collect()
     found = sorted(((r["cell"], pickle.loads(r["edges"])) for r in found), key=lambda x: x[0])
     return dict(zip((cell for cell, _ in found), around_cells([e for _, e in found], copy, tries), strict=True))
 
@@ -411,4 +413,4 @@ def extract(pages: DataFrame, cell: int = 4096, copy: float = 0.9, tries: int =
         text = texts(c, order, shared_lines([seen(c, i) for i in order], copy, tries, *beside.get(c["cell"][0], ((), ()))))
         return pa.table({"page_id": pa.array([c["page_id"][i] for i in order], pa.int64()), "url": pa.array([c["url"][i] for i in order], pa.string()), "text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
 
-    return parsed(rows, borders).groupBy("cell").applyInArrow(each, "page_id long, url string, text string, n_chars long")
+    return parsed(rows, borders).groupBy("cell").applyInArrow(tidy(each), "page_id long, url string, text string, n_chars long")

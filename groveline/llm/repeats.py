@@ -71,7 +71,7 @@ def runs(docs: DataFrame, by: str, window: int, gram: int, sieve: Sieve | None =
                 pos = (first - at[row]) * 256 + (last - first)
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h, ph.view(np.int64), rid[a + row], pos)], ["h", "ph", "rid", "pos"])
 
-    return docs.select("rid", "text").mapInArrow(each, "h long, ph long, rid long, pos long")
+    return docs.select("rid", "text").mapInArrow(hashing.tidy(each), "h long, ph long, rid long, pos long")
 
 
 def again(docs: DataFrame, by: str, window: int, gram: int) -> DataFrame:
@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, kinds: DataFrame, by: str, window: int) -> DataFrame
             for part in parts(batch.filter(pa.array(hit))):
                 yield _packed(part)
 
-    texts = docs.select("rid", "text").mapInArrow(packed, "rid long, zip binary, size long").dropDuplicates(["rid"])
+    texts = docs.select("rid", "text").mapInArrow(hashing.tidy(packed), "rid long, zip binary, size long").dropDuplicates(["rid"])
     both = wanted.hint("shuffle_hash").join(texts, "rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, kinds: DataFrame, by: str, window: int) -> DataFrame
                         k.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.int64()) for r in rows[:5]), pa.array(rows[5], pa.binary())], ["h", "ph", "n", "rid", "pos", "piece"])
 
-    return both.select("rid", "of", "zip", "size").mapInArrow(cut, "h long, ph long, n long, rid long, pos long, piece binary")
+    return both.select("rid", "of", "zip", "size").mapInArrow(hashing.tidy(cut), "h long, ph long, n long, rid long, pos long, piece binary")
 
 
 def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,7 +198,7 @@ def removed(docs: DataFrame, found: DataFrame, by: str, window: int) -> DataFram
                 zipped = [pa.compress(t, codec="zstd", asbytes=True) if h else None for t, h in zip(texts, hit, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *_columns(made), pa.array(zipped, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], [*_NAMES, "zip", "size"])
 
-    seen = docs.select("doc_id", "rid", "text").mapInArrow(first, schema + ", zip binary, size long")
+    seen = docs.select("doc_id", "rid", "text").mapInArrow(hashing.tidy(first), schema + ", zip binary, size long")
     both = seen.join(spans_of(found).hint("shuffle_hash"), F.col("rid") == F.col("_r"), "left").drop("_r")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def removed(docs: DataFrame, found: DataFrame, by: str, window: int) -> DataFram
                     made.append(result(text, union_of(np.array(at, np.int64), window) if at else NO_SPANS))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *_columns(made)], _NAMES)
 
-    return both.mapInArrow(second, schema)
+    return both.mapInArrow(hashing.tidy(second), schema)
 
 
 def left_over(docs: DataFrame, rid: Column, found: DataFrame, by: str, window: int) -> DataFrame:
@@ -277,7 +277,7 @@ def compared(found: DataFrame, by: str, window: int, gram: int, compare, per_tas
         return table.select(["h", "ph", "n", "rid", "pos"]).take(pa.array(piece)).append_column("at", pa.array(start * 256 + length - 1))
 
     dealt = found.select(F.pmod(F.xxhash64("h"), F.lit(tasks)).cast("int").alias("task"), "h", "ph", "n", "rid", "pos", "piece")
-    return dealt.groupBy("task").applyInArrow(each, "h long, ph long, n long, rid long, pos long, at long")
+    return dealt.groupBy("task").applyInArrow(hashing.tidy(each), "h long, ph long, n long, rid long, pos long, at long")
 
 
 class Stretches:
