@@ -75,4 +75,15 @@ WITH {WORDS.format(text="coalesce(text, '')")}, n AS (SELECT doc_id, count(*) AS
   o AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY 1)
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN o USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_partenum_join": OP1, "op4_bit_sliced_topk": OP4, "op7_doubled_windows": OP7}
+OP8 = """
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS y FROM documents), n AS (SELECT r, doc_id, y, hex(y) AS x, octet_length(y)::BIGINT AS n FROM b),
+  w AS (SELECT r, i, md5(array_slice(y, i + 1, i + 200)) AS h FROM (SELECT r, y, unnest(range(0, n - 199)) AS i FROM n)),
+  s AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1)),
+  e AS (SELECT r, i, coalesce(i > lag(i) OVER v + 200, true) AS fresh FROM s WINDOW v AS (PARTITION BY r ORDER BY i)),
+  g AS (SELECT r, i, sum(fresh::INTEGER) OVER (PARTITION BY r ORDER BY i) AS k FROM e), t AS (SELECT r, k, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY 1, 2),
+  o AS (SELECT r, sum(z - a)::BIGINT AS gone, count(*) AS spans FROM t GROUP BY 1),
+  c AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS z FROM t UNION ALL SELECT r, max(z), NULL FROM t GROUP BY 1),
+  k AS (SELECT c.r, string_agg(CASE WHEN c.z IS NULL THEN substr(x, 2 * a + 1) ELSE substr(x, 2 * a + 1, 2 * (c.z - a)) END, '' ORDER BY a) AS kept FROM c JOIN n ON n.r = c.r GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM n LEFT JOIN o ON o.r = n.r LEFT JOIN k ON k.r = n.r"""
+
+ORACLES: dict[str, str] = {"op1_partenum_join": OP1, "op4_bit_sliced_topk": OP4, "op7_doubled_windows": OP7, "op8_columnwise_suffixes": OP8}

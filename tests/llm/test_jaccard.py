@@ -132,3 +132,11 @@ def test_one_of_each_and_edges(spark):
     assert jaccard.join(docs.where("false")).collect() == []
     got = sorted(((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard.join(docs).collect()), key=str)
     assert got == [("1", 5, 1), ("1", 5, 1), ("3", 5, 1), ("7", 0, 7), ("8", 0, 8), ("9", 1, 9), ("None", 1, 9), ("None", 1, None)]
+
+
+def test_one_of_each_with_clashing_names(spark):
+    """Columns named like those that the operator uses; of rows with equal id and text the least stays."""
+    rows = [(i, t, "en", s) for i, t, s in ((1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (1, "a b c d e f", "w"), (3, "q r s", "z"), (4, None, "z"))]
+    docs = documents(spark, rows).withColumnsRenamed({"size": "rid", "key": "_stay", "shard": "row", "words": "may_go"})
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns and sorted((r["doc_id"], r["source"], r["rid"], r["_stay"]) for r in out.collect()) == [(1, "w", 7, "k"), (3, "z", 7, "k"), (4, "z", 7, "k")]

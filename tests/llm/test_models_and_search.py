@@ -68,6 +68,9 @@ def test_languages_edges(spark):
     assert langid.identify(docs.where("false"), SMALL).collect() == []
     kept = langid.known(docs, shape=langid.Shape(hidden=6, steps=60, batch=32))
     assert kept.columns == docs.columns and {1, 2, 3}.isdisjoint(r["doc_id"] for r in kept.collect())
+    named = docs.withColumnsRenamed({"size": "_row", "key": "score", "shard": "held_out", "words": "_text"})
+    kept = langid.known(named, shape=langid.Shape(hidden=6, steps=60, batch=32))
+    assert kept.columns == named.columns and {r["_row"] for r in kept.collect()} == {7}
 
 
 def test_sample_of_rows_with_few_ids_and_of_rare_languages(spark):

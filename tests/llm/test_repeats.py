@@ -4,11 +4,13 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from groveline.llm import hashing, substrings, suffixes
+from groveline.llm.queries import ORACLES
 from tests.llm.helpers import corpus, documents
 
 
@@ -82,6 +84,13 @@ def test_empty_and_kept_texts(rows, docs):
             assert hashlib.sha256(t.encode()).hexdigest() == want[i]
 
 
+def test_sql_says_the_same(rows):
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    assert sorted(db.execute(ORACLES["op7_doubled_windows"]).fetchall()) == sorted(by_words(rows, 35))
+    assert sorted(db.execute(ORACLES["op8_columnwise_suffixes"]).fetchall()) == sorted(by_bytes(rows, 200))
+
+
 def test_clashing_names(spark, rows, docs):
     """Columns named like those that the operator uses go through."""
     named = docs.withColumnsRenamed({"size": "rid", "key": "kept", "shard": "row", "words": "_rid"})
