@@ -44,6 +44,9 @@ class Backend(Protocol):
     def matches(self, structure: str, pattern: str) -> bool: ...
     def vector(self, structure: str, set_id: str, params: dict[str, Any]) -> Sequence[float]: ...
 
+    # for sets in 3D only: a block of coordinates, the path of a file with one, or a tuple that starts with either
+    def conformer(self, structure: str, params: dict[str, Any]) -> str | tuple: ...
+
 
 #: What makes a backend, by name: "module:attribute", which each worker imports, or a callable, which is sent to the workers.
 _BACKENDS: dict[str, str | Callable[[], Backend]] = {}
@@ -168,6 +171,38 @@ def parsed(df: DataFrame, column: str) -> DataFrame:
     return df.mapInPandas(each, f"{fields}, canonical_smiles string, mol_parse_ok boolean, mol_error string")
 
 
+# How a conformer is made.
+CONFORMER = {"num_confs": 20, "random_seed": 61453, "prune_rms_thresh": 0.5, "max_iters": 200, "mmff_variant": "MMFF94s", "fallback_to_uff": True}
+
+
+def coordinates(found: Any) -> str:
+    """A conformer as text, from what a backend gives: the text itself, the path of a file, or a tuple that starts with either."""
+    found = found[0] if isinstance(found, tuple) else found
+    if not isinstance(found, str) or not found:
+        raise ValueError("no conformer")
+    return Path(found).read_text() if "\n" not in found and Path(found).is_file() else found
+
+
+def conformers(df: DataFrame, key: str = "compound_id", **params: Any) -> DataFrame:
+    """key, conformer, conformer_error: one conformer of least energy for each structure, by the backend's way with CONFORMER's defaults."""
+    make, params = maker("3D conformers"), CONFORMER | params
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use = made(make)
+        for b in batches:
+            found, errors = [], []
+            for text in b["canonical_smiles"]:
+                try:
+                    found.append(coordinates(use.conformer(text, params)))
+                    errors.append(None)
+                except Exception as e:  # a structure's failure stays in its row
+                    found.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({key: b[key], "conformer": found, "conformer_error": errors})
+
+    return df.select(key, "canonical_smiles").mapInPandas(each, f"`{key}` {df.schema[key].dataType.simpleString()}, conformer string, conformer_error string")
+
+
 def described(df: DataFrame, s: DescriptorSet, key: str = "compound_id") -> DataFrame:
     """key, canonical_smiles, mol_parse_ok, descriptor_error, features. A row that fails has null features and its error; others go on."""
     make = maker(f"{s.set_id} {s.name}")
@@ -178,6 +213,8 @@ def described(df: DataFrame, s: DescriptorSet, key: str = "compound_id") -> Data
             values, errors = [], []
             for text, ok in zip(b["canonical_smiles"], b["mol_parse_ok"], strict=True):
                 try:
+                    if ok and s.requires_3d:
+                        text = coordinates(use.conformer(text, CONFORMER))
                     values.append([float(x) for x in use.vector(text, s.set_id, s.params)] if ok else None)
                     errors.append(None if ok else "structure can't be read")
                 except Exception as e:  # a set's failure stays in its row

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline import config as cfg
-from groveline.functions import stats, structures
+from groveline.functions import models, stats, structures
 from groveline.operators import clustering, features, groups, insight, landscape, neighbours, validate
 from groveline.sources import sinks, tables
 from groveline.storage import written
@@ -46,8 +46,17 @@ def _structure(df: DataFrame, key: str) -> tuple[str | None, str | None, list[st
     return structures.structure_column(df, named, text)
 
 
-def describe(spark: SparkSession, source: str, outdir: str, sets: list[str] | None = None, enable_3d: bool = False, id_column: str | None = None, structure: str | None = None, overwrite: bool = False, dry_run: bool = False) -> dict[str, Any]:
-    """One table for each descriptor set; sets fail one by one. A dry run reports what would be done."""
+def _embedded(mols: DataFrame, s: structures.DescriptorSet, known: dict[str, models.Model], folder: str) -> DataFrame:
+    """What ``structures.described`` gives, by a pretrained model. Structures that can't be read have no vector."""
+    vectors = models.embedded(mols.where("mol_parse_ok"), known.get(s.set_id), s.set_id, f"{folder}/{s.set_id}")
+    out = mols.select("compound_id", "canonical_smiles", "mol_parse_ok").join(vectors, "compound_id", "left")
+    error = F.when(~F.col("mol_parse_ok"), "structure can't be read").when(F.col("features").isNull(), "the model gave no vector")
+    return out.select("compound_id", "canonical_smiles", "mol_parse_ok", error.alias("descriptor_error"), "features")
+
+
+def describe(spark: SparkSession, source: str, outdir: str, sets: list[str] | None = None, enable_3d: bool = False, id_column: str | None = None, structure: str | None = None, overwrite: bool = False, dry_run: bool = False, registry: str | None = None, model_dirs: list[str] | None = None) -> dict[str, Any]:
+    """One table for each descriptor set; sets fail one by one. A dry run reports what would be done. registry, model_dirs: where pretrained models are."""
+    known = models.registry(registry, model_dirs or [])
     df, key, warnings = _compounds(spark, source, id_column)
     tier = None
     if structure is None:
@@ -63,7 +72,13 @@ def describe(spark: SparkSession, source: str, outdir: str, sets: list[str] | No
     errors = None
     failed: dict[str, int] = {}
     for s in chosen:
-        out = written(structures.described(mols, s))
+        try:
+            out = written(_embedded(mols, s, known, str(Path(outdir) / "exchange")) if s.requires_model_dir else structures.described(mols, s))
+        except structures.MissingBackend as e:
+            if not s.requires_model_dir:
+                raise
+            warnings.append(str(e))
+            out = mols.select("compound_id", "canonical_smiles", "mol_parse_ok", F.lit(f"MissingBackend: {e}").alias("descriptor_error"), F.lit(None).cast("array<double>").alias("features"))
         sinks.write_table(out, str(Path(outdir) / s.output), overwrite, ["compound_id"])
         bad = sinks.errors_table(out, s.set_id)
         failed[s.set_id] = bad.count()
@@ -348,6 +363,8 @@ def main(argv: list[str] | None = None) -> dict[str, Any]:
             s.add_argument("--smiles-column")
             s.add_argument("--enable-3d", action="store_true")
             s.add_argument("--dry-run", action="store_true")
+            s.add_argument("--model-registry")
+            s.add_argument("--model-dir", action="append", help="ID=PATH, more than once for more sets")
         if name in ("describe", "grouping"):
             s.add_argument("--backend", help="module:attribute that makes a structure backend; each worker imports it")
         if name == "grouping":
@@ -361,7 +378,7 @@ def main(argv: list[str] | None = None) -> dict[str, Any]:
     if getattr(a, "backend", None):
         structures.register_backend(a.backend, a.backend)
     if a.run == "describe":
-        return describe(spark, a.input, a.outdir, a.sets, a.enable_3d, a.id_column, a.smiles_column, a.overwrite, a.dry_run)
+        return describe(spark, a.input, a.outdir, a.sets, a.enable_3d, a.id_column, a.smiles_column, a.overwrite, a.dry_run, a.model_registry, a.model_dir)
     user = cfg.load({}, a.config)
     if a.run == "grouping":
         return grouping(spark, a.input, a.outdir, user, a.id_column, a.grouping_columns, a.is_virtual_column, a.overwrite)

@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from groveline import config
-from groveline.functions import structures
+from groveline.functions import models, structures
 from groveline.operators import clustering
 from groveline.plans import runs
 from groveline.sources import sinks, tables
@@ -76,6 +76,11 @@ class Toy:
             raise RuntimeError("no")
         return [float(c in s) if set_id == "L02" else float(s.count(c)) for c in "abcdefgh"]
 
+    def conformer(self, s, params):
+        if "h" in s:
+            raise ValueError("no conformer of h")
+        return f"{s}\\n{params['num_confs']} {params['random_seed']}", {"energy": 0.0}
+
     def scaffold(self, s):
         return s[:1], "*", 1, len(s)
 
@@ -112,6 +117,27 @@ def test_describe(spark, tmp_path, toy):
     assert structures.structure_column(df, ["compound_id"], []) == (None, "low", ["no column's values can be read as structures: compound_id"])
 
 
+def test_models_and_conformers(spark, tmp_path, toy):
+    (tmp_path / "in.csv").write_text("compound_id,SMILES\n1,cab\n2,b2\n3,bb\n4,ch\n")
+    model = tmp_path / "model"
+    model.mkdir()
+    (model / "embedding_adapter.py").write_text("def embed_smiles(smiles, model_dir, params):\n    return [[len(s), params['x']] for s in smiles]\n")
+    (tmp_path / "registry.json").write_text(json.dumps({"models": {"L30": {"loader": "huggingface_transformers", "model_dir": str(model)}, "L40": {"loader": "local_custom", "model_dir": None, "params": {"x": 2}}}}))
+    out = runs.describe(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), ["L14", "L30", "L40"], True, registry=str(tmp_path / "registry.json"), model_dirs=[f"L40={model}"])
+    assert out["errors"] == {"L14": 2, "L30": 4, "L40": 1}
+    got = {r["compound_id"]: r["features"] for r in tables.read_csv(spark, str(tmp_path / "out" / structures.SETS["L40"].output)).collect()}
+    assert json.loads(got["1"]) == [3.0, 2.0] and got["2"] is None
+    df = spark.createDataFrame([("a", "cab"), ("b", "h")], "compound_id string, canonical_smiles string")
+    assert sorted(map(tuple, structures.conformers(df).collect())) == [("a", "cab\n20 61453", None), ("b", None, "ValueError: no conformer of h")]
+    (tmp_path / "c.sdf").write_text("block")
+    assert structures.coordinates(str(tmp_path / "c.sdf")) == "block"
+    for bad in (["L99=/x"], ["L30"]):
+        with pytest.raises(ValueError):
+            models.registry(None, bad)
+    with pytest.raises(structures.MissingBackend, match="selfies"):
+        models.selfies(["C"])
+
+
 def test_all_builders(spark, tmp_path, toy):
     """All seven builders, with relations of all six types, the excluded rows and the figures' rows."""
     words = ["abcde", "abcdf", "abcdg", "abceh", "bcdef", "bcdeg", "bcdfh", "abcdef"]
