@@ -29,7 +29,6 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -562,9 +561,9 @@ def one_of_each(docs: DataFrame, scheme: Scheme = Scheme(words=5, percent=80)) -
     unsure = written(found.select("rid").distinct().join(sure, "rid", "left_anti"))
     sieve = Sieve(unsure)
 
-    @F.pandas_udf("boolean")
-    def may_go(rid: pd.Series) -> pd.Series:
-        return pd.Series(sieve.test(rid.to_numpy()))
+    @F.arrow_udf("boolean")
+    def may_go(rid: pa.Array) -> pa.Array:
+        return pa.array(sieve.test(rid.to_numpy()))
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"))
     packed = packed.withColumn("may_go", may_go("rid"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groveline.llm.hashing import Texts, tidy
+from groveline.llm.hashing import Texts, release, tidy
 
 UNKNOWN = "und"
 
@@ -264,6 +264,7 @@ def identify(docs: DataFrame, shape: Shape = Shape(), keep: tuple[str, ...] = ("
     languages = sorted({x for x, _ in found})
     label = np.array([languages.index(x) for x, _ in found], np.int64)
     w = train([x for _, x in found], label, len(languages), shape) if languages else None
+    release()
     schema = docs.select(*keep).schema
     from pyspark.sql import types as T
 

@@ -15,7 +15,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -221,13 +220,14 @@ def left_over(docs: DataFrame, rid: Column, found: DataFrame, by: str, window: i
     """``docs`` with the text that is left. Rows that the sieve holds back lose nothing and are taken as they are read."""
     sieve = Sieve(found)
 
-    @F.pandas_udf("boolean")
-    def loses(rid: pd.Series) -> pd.Series:
-        return pd.Series(sieve.test(rid.to_numpy()))
+    @F.arrow_udf("boolean")
+    def loses(rid: pa.Array) -> pa.Array:
+        return pa.array(sieve.test(rid.to_numpy()))
 
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([t if p is None or t is None else without(t.encode(), union_of(np.asarray(p, np.int64), window), by)[0].decode("utf-8", "replace") for t, p in zip(text, at, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, at: pa.Array) -> pa.Array:
+        both = zip(text.to_pylist(), at.to_pylist(), strict=True)
+        return pa.array([t if p is None or t is None else without(t.encode(), union_of(np.array(p, np.int64), window), by)[0].decode("utf-8", "replace") for t, p in both], pa.string())
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), rid.alias("rid"))
     packed = packed.withColumn("loses", loses("rid"))
