@@ -24,3 +24,17 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("node", "component")
         if now.where("changed").limit(1).count() == 0:
             return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` as ``components`` gives them, when links(a, b) come to those that made them, written.
+
+    Only the new links are followed, each as a link of the components that its ends are in by now; a component whose name changes is
+    renamed once.
+    """
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    ends = links.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    step = components(written(ends.distinct()))
+    new = step.join(labels, "node", "left_anti")
+    known = labels.join(step.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    return written(known.select("node", F.coalesce("_to", "component").alias("component")).unionByName(new.select("node", "component")))

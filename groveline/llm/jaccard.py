@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from groveline.llm import hashing
 from groveline.llm.common import discard, written
-from groveline.llm.components import components
+from groveline.llm.components import components, joined
 from groveline.llm.repeats import Sieve
 
 GOLD, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -505,8 +505,7 @@ def _linked_nodes(members: DataFrame, docs: DataFrame, nodes: DataFrame, scheme:
     placed = written(members.select("sig", "node").join(buckets, "sig"))
     discard(members)
     tested = _compared(placed.withColumn("component", F.col("node")), nodes, -1, scheme)
-    links = _checked(tested, docs, nodes, scheme, names)
-    label = components(links)
+    label = components(_checked(tested, docs, nodes, scheme, names))
     for most in (0, 8, 64, 4096, 1 << 62):
         now = placed.where("n > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = now.groupBy("sig").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("sig")
@@ -519,9 +518,10 @@ def _linked_nodes(members: DataFrame, docs: DataFrame, nodes: DataFrame, scheme:
         found = written(possible.where("a != 0").join(tested, ["a", "b"], "left_anti"))
         discard(possible)
         if found.limit(1).count():
-            links = written(links.unionByName(_checked(found, docs, nodes, scheme, names)))
+            links = _checked(found, docs, nodes, scheme, names)
             tested = written(tested.unionByName(found))
-            label = components(links)
+            if links.limit(1).count():
+                label = joined(label, links)
         if last:
             break
     return label

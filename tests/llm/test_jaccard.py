@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pytest
 
+from groveline.llm import components as linking
 from groveline.llm import jaccard
-from groveline.llm.components import components
+from groveline.llm.components import components, joined
 from tests.llm.helpers import corpus, documents
 
 
@@ -123,6 +124,37 @@ def test_components(spark):
     assert got == group
 
 
+def test_joined(spark):
+    """Links that come later join components, lengthen them and make new ones, and say what is known already."""
+    rng = random.Random(9)
+    pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(100, 101), (101, 102)]
+    later = [(102, 90), (rng.randint(0, 60), 70), (70, 71), (200, 201), (100, 102), (5, 6), (6, 7), (30, 90)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = joined(components(table(pairs)), table(later)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, components(table(pairs + later)).collect()))
+
+
+def test_links_are_followed_once(spark, monkeypatch):
+    """The rounds in large groups follow the links that each has found, not all links again."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "TASK", 8)
+    checked, followed = [], []
+    check, follow = jaccard._checked, linking.components
+    monkeypatch.setattr(jaccard, "_checked", lambda *a: (out := check(*a), checked.append(out.count()))[0])
+    for module in (jaccard, linking):
+        monkeypatch.setattr(module, "components", lambda links: (followed.append(links.count()), follow(links))[1])
+    rng = random.Random(77)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(140), rng.randint(1, 4)):
+            w[k] = f"y{rng.randint(0, 40)}"
+        rows.append((i, " ".join(w), "en", "s"))
+    assert sorted(map(tuple, jaccard.join(documents(spark, rows)).collect())) == by_pairs(rows)
+    assert sum(x > 0 for x in checked) > 1 and sum(followed) <= sum(checked)
+
+
 def test_one_of_each_and_edges(spark):
     rows = [(3, "a b c d e f g h", "en", "s"), (1, "A b c d e f g h", "de", "s"), (1, "A b c d e f g h", "de", "s"), (7, None, None, None), (8, "", None, None), (None, "z y x", None, None), (None, "q", None, None), (9, "z y x", None, None)]
     docs = documents(spark, rows)
