@@ -446,6 +446,22 @@ def test_average_linkage_by_vectors():
             assert got == clustering.average_linkage(1 - u @ u.T, cut)
 
 
+def test_rounded_pairs_take_less_disk(spark, tmp_path, monkeypatch):
+    """A pair of blocks is written by its distances; those that are no numbers or too large for a key stay too."""
+    monkeypatch.setattr(distances, "blocks", lambda df, key, f=distances.blocks: f(df, key, least=1500))
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    distances.all_pairs(vectors(spark, x), "compound_id", "cosine", digits=5).write.parquet(str(tmp_path / "near"))
+    got = spark.read.parquet(str(tmp_path / "near"))
+    assert got.count() == got.select("id_a", "id_b").distinct().count() == 3000 * 2999 // 2 and got.where("id_a >= id_b").count() == 0
+    assert sum(f.stat().st_size for f in (tmp_path / "near").glob("*.parquet")) < 5 * 3000 * 2999 / 2
+    monkeypatch.setattr(distances, "_repeats", lambda n, pairs: 3.0)
+    odd = np.array([[0.0, 1.0], [1e30, 0.0], [math.nan, 1.0], [3.0, 5.0]])
+    d = {(r["id_a"], r["id_b"]): r["distance"] for r in distances.all_pairs(vectors(spark, odd), "compound_id", "manhattan", digits=6).collect()}
+    assert len(d) == 6 and d[0, 3] == 7.0 and d[0, 1] == d[1, 3] == 1e30 and all(math.isnan(d[k]) for k in d if 2 in k)
+
+
 def test_average_linkage_in_few_rounds(monkeypatch):
     """Merging goes by rounds of nearest neighbours, not pair by pair: equal rows, ties and rows of nothing too."""
     rng, sought = np.random.default_rng(7), []
